@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thicket.llm import bpe, line_dedup, quality_rules
+from thicket.llm import bpe, line_dedup, quality_rules, simhash
 from thicket.llm.common import tuned
 
 #: Where the vocabularies lie: a parameter of every operator that needs one.
@@ -43,10 +43,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
+    "op4_simhash": op4_simhash,
 }
 
 ORACLES: dict[str, str] = {
