@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thicket.llm import bpe, line_dedup, quality_rules, simhash
+from thicket.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
 from thicket.llm.common import tuned
 
 #: Where the vocabularies lie: a parameter of every operator that needs one.
@@ -48,11 +48,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.overlaps(docs, benchmark)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
