@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thicket.llm import bpe, decontaminate, line_dedup, quality_rules, simhash, token_pack
+from thicket.llm import bpe, decontaminate, line_dedup, ordinal, quality_rules, simhash, token_pack
 from thicket.llm.common import tuned
 
 #: Where the vocabularies lie: a parameter of every operator that needs one.
@@ -48,6 +48,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.fit(*ordinal.labelled(docs, table(spark, sf_dir, "labels")))
+    return ordinal.grades(docs, model, keep_text=False)
+
+
 def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = token_pack.pack_table(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY("word_bpe_49k.json"), end_id=2)
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
+    "op5_ordinal_quality": op5_ordinal_quality,
     "op7_token_pack": op7_token_pack,
     "op9_decontaminate": op9_decontaminate,
 }
