@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thicket.llm import bpe, decontaminate, line_dedup, ordinal, quality_rules, simhash, token_pack
+from thicket.llm import bpe, decontaminate, line_dedup, ordinal, quality_rules, sentence_spans, simhash, token_pack
 from thicket.llm.common import tuned
 
 #: Where the vocabularies lie: a parameter of every operator that needs one.
@@ -54,6 +54,11 @@ def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grades(docs, model, keep_text=False)
 
 
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sentence_spans.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = token_pack.pack_table(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY("word_bpe_49k.json"), end_id=2)
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_ordinal_quality": op5_ordinal_quality,
+    "op6_sentence_spans": op6_sentence_spans,
     "op7_token_pack": op7_token_pack,
     "op9_decontaminate": op9_decontaminate,
 }
