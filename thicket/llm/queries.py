@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thicket.llm import bpe, decontaminate, line_dedup, ordinal, quality_rules, sentence_spans, simhash, token_pack
+from thicket.llm import bpe, decontaminate, html_mincut, line_dedup, ordinal, quality_rules, sentence_spans, simhash, token_pack
 from thicket.llm.common import tuned
 
 #: Where the vocabularies lie: a parameter of every operator that needs one.
@@ -69,6 +69,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(docs, benchmark)
 
 
+def op10_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentence_spans": op6_sentence_spans,
     "op7_token_pack": op7_token_pack,
     "op9_decontaminate": op9_decontaminate,
+    "op10_html_mincut": op10_html_mincut,
 }
 
 ORACLES: dict[str, str] = {
