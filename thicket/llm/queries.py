@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thicket.llm import bpe, decontaminate, html_mincut, line_dedup, ordinal, quality_rules, sentence_spans, simhash, token_pack
+from thicket.llm import bpe, decontaminate, html_mincut, line_dedup, ordinal, quality_rules, sentence_spans, simhash, suffix_dedup, token_pack
 from thicket.llm.common import tuned
 
 #: Where the vocabularies lie: a parameter of every operator that needs one.
@@ -64,6 +64,11 @@ def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
     return decontaminate.overlaps(docs, benchmark)
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ordinal_quality": op5_ordinal_quality,
     "op6_sentence_spans": op6_sentence_spans,
     "op7_token_pack": op7_token_pack,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_mincut": op10_html_mincut,
 }
