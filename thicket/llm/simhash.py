@@ -24,7 +24,6 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -90,38 +89,22 @@ def pivot_table(codes: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes[:, None] ^ pivots()[None, :]).astype(np.int8)
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def links_within(codes: np.ndarray, side: np.ndarray | None = None, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
+def links_within(codes: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
     """Index pairs of linked codes that join all components of the links among ``codes``: a spanning forest, not all pairs.
 
-    side: if given, only pairs with different sides are looked at. Breadth first: a code that hangs on is compared with all that do
+    Breadth first: a code that hangs on is compared with all that do
     not hang on yet, so a tight group of n codes costs about n comparisons a member that reaches further.
     """
     table = pivot_table(codes)
     order = np.argsort(table[:, 0], kind="stable")
     codes, table = codes[order], table[order]
-    sides = None if side is None else side[order]
     free = np.arange(len(codes))
     out: list[tuple[int, int]] = []
     while len(free):
         queue, free = [int(free[0])], free[1:]
         while queue and len(free):
             i = queue.pop()
-            first = table[free, 0]  # sorted: a window of them is near enough at the first pivot
+            first = table[free, 0].astype(np.int16)  # sorted: a window of them is near enough at the first pivot
             lo, hi = np.searchsorted(first, int(table[i, 0]) - max_bits), np.searchsorted(first, int(table[i, 0]) + max_bits, side="right")
             near = free[lo:hi]
             for p in range(1, PIVOTS):
@@ -129,8 +112,6 @@ def links_within(codes: np.ndarray, side: np.ndarray | None = None, max_bits: in
                     break
                 near = near[np.abs(table[near, p] - table[i, p]) <= max_bits]
             near = near[np.bitwise_count(codes[near] ^ codes[i]) <= max_bits]
-            if sides is not None:
-                near = near[sides[near] != sides[i]]
             if len(near):
                 out.extend((int(order[i]), int(order[j])) for j in near)
                 queue.extend(near.tolist())
@@ -162,34 +143,73 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     met = materialize(buckets.join(least, ["k", "v"]).select("k", "v", "n", "fp", "id", F.col("least.fp").alias("fp0"), F.col("least.id").alias("id0")), "buckets")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= max_bits
     stars = met.where(near).where("id != id0").select(F.col("id").alias("a"), F.col("id0").alias("b")).distinct()
-    # A member that hangs on the least code needs no links to others that do; one that doesn't is compared with all.
-    # Chunks of a bucket meet pairwise: chunk i goes to the pairs (i, j) and (j, i) for all j. Buckets with only such members are done.
-    far = met.groupBy("k", "v").agg(F.sum(F.when(near, 0).otherwise(1)).alias("far")).where("far > 0")
-    left = met.join(far, ["k", "v"])
+    # A member that hangs on the least code needs no links to others that do; one that doesn't is compared with all. A bucket of
+    # two is done, and so is one whose members all hang on.
+    # Chunks of a bucket meet pairwise: chunk i goes to the pairs (i, j) and (j, i) for all j.
+    far = met.where("n > 2").groupBy("k", "v").agg(F.sum(F.when(near, 0).otherwise(1)).alias("far")).where("far > 0")
+    left = met.where("n > 2").join(far, ["k", "v"])
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = left.select("k", "v", "fp", "id", near.cast("int").alias("near"), own.alias("own"), F.explode(pairs).alias("pair"))
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes, ids, hangs = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy(), pdf["near"].to_numpy()
-        # members at the least code are one component already: only one side of far ones needs a look at them
-        far_at, near_at = np.flatnonzero(hangs == 0), np.flatnonzero(hangs == 1)
-        found = [(int(far_at[i]), int(far_at[j])) for i, j in links_within(codes[far_at])] if len(far_at) > 1 else []
-        if len(near_at):
-            table, sizes = codes[near_at], pivot_table(codes[near_at])
-            own_table = pivot_table(codes[far_at])
-            for n, i in enumerate(far_at.tolist()):
-                rest = np.flatnonzero(np.abs(sizes - own_table[n]).max(axis=1) <= max_bits)
-                hit = rest[np.bitwise_count(table[rest] ^ codes[i]) <= max_bits]
-                if len(hit):
-                    found.append((i, int(near_at[hit[0]])))
-        return pd.DataFrame({"a": ids[[i for i, _ in found]], "b": ids[[j for _, j in found]]}, dtype="int64")
-
-    rest = dealt.groupBy("k", "v", "pair").applyInPandas(within, "a long, b long")
+    dealt = left.select("k", "v", "fp", "id", near.alias("near"), F.explode(pairs).alias("pair")).select("k", "v", "pair.i", "pair.j", "near", "fp", "id")
+    group = ["k", "v", "i", "j"]
+    rest = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda batches: _compare(batches, max_bits), "a long, b long")
     return stars.union(rest)
 
 
+SMALL = 32
+
+
+def _compare(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Links within the groups (k, v, i, j) of sorted rows; a group's rows follow one another, over borders of batches too."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        keys = [batch.column(c).to_numpy() for c in range(4)]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in keys], axis=0)) + 1
+        if len(new):  # all groups but the last are whole
+            waiting[-1] = batch.slice(0, int(new[-1]))
+            yield from _links_of(pa.Table.from_batches(waiting), max_bits)
+            waiting = [batch.slice(int(new[-1]))]
+        elif len(waiting) > 1 and any(waiting[-2].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in range(4)):
+            yield from _links_of(pa.Table.from_batches(waiting[:-1]), max_bits)
+            waiting = [batch]
+    if waiting:
+        yield from _links_of(pa.Table.from_batches(waiting), max_bits)
+
+
+def _links_of(table: pa.Table, max_bits: int) -> Iterator[pa.RecordBatch]:
+    columns = [c.to_numpy() for c in table.columns]
+    near, codes, ids = columns[4].astype(bool), columns[5].view(np.uint64), columns[6]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)
+    starts = np.append(np.flatnonzero(new), len(ids))
+    sizes = np.diff(starts)
+    group, small = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes <= SMALL, sizes)
+    pivot = pivot_table(codes)
+    a, b = [], []
+    for d in range(1, min(SMALL, len(ids))):  # all small groups at once, by the distance of rows
+        i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]) & ~(near[:-d] & near[d:]))
+        i = i[np.abs(pivot[i] - pivot[i + d]).max(axis=1, initial=0) <= max_bits]
+        i = i[np.bitwise_count(codes[i] ^ codes[i + d]) <= max_bits]
+        a.append(ids[i])
+        b.append(ids[i + d])
+    for g in np.flatnonzero(sizes > SMALL):
+        at = slice(starts[g], starts[g + 1])
+        far_at, near_at = np.flatnonzero(~near[at]) + starts[g], np.flatnonzero(near[at]) + starts[g]
+        found = [(far_at[i], far_at[j]) for i, j in links_within(codes[far_at], max_bits)]
+        for i in far_at if len(near_at) else ():
+            rest = near_at[np.abs(pivot[near_at] - pivot[i]).max(axis=1) <= max_bits]
+            hit = rest[np.bitwise_count(codes[rest] ^ codes[i]) <= max_bits]
+            found.extend((i, j) for j in hit[:1])  # near ones hang together already
+        a.append(ids[[i for i, _ in found]])
+        b.append(ids[[j for _, j in found]])
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+
+
 def classify(coded: DataFrame, doc_id: str = "doc_id", fp: str = "fp", max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, component_id) of each fingerprint in ``coded``: the smallest doc_id reachable over links."""
     classes = materialize(coded.groupBy(F.col(fp).alias("fp")).agg(F.min(F.col(doc_id).cast("long")).alias("least")), "classes")
