@@ -109,7 +109,7 @@ class KneserNey:
             lower, found = self._find(order, grams[left] & mask)
             out[left] += np.where(known, self.backoff[context], 0.0) + np.where(found, self.logp[lower], 0.0)
             left = left[~found]
-        out[left] += np.log(1 / 256)
+        out[left] += float(self.backoff[np.searchsorted(self.hashes, _hash(0, np.zeros(1, dtype=np.int64)))[0]]) + np.log(1 / 256)
         return out
 
 
@@ -154,6 +154,7 @@ def kneser_ney(grams: np.ndarray, n: np.ndarray) -> KneserNey:
         lower2 = np.where(lower2 > 0, lower2, 1 / 256)
         lower1 = np.where(by_end[seen1] > 0, by_end[seen1], gamma0[0] / 256)
         arrays = [
+            (_hash(0, np.zeros(1, dtype=np.int64)), np.zeros(1), np.log(np.maximum(gamma0[:1], 1e-12))),
             (_hash(3, grams), np.log(p3), np.zeros(len(grams))),
             (_hash(2, seen2), np.log(lower2), np.nan_to_num(np.log(gamma2[seen2]), nan=0.0, neginf=0.0)),
             (_hash(1, seen1), np.log(lower1), np.nan_to_num(np.log(gamma1[seen1]), nan=0.0, neginf=0.0)),
