@@ -33,9 +33,9 @@ def analyze(text: str, analyzer: str) -> list[str]:
 
 
 def token_table(rows: DataFrame, analyzer: str = STANDARD) -> DataFrame:
-    """(nid, term, pos, len) of every term of rows (nid, text). len: terms of the text."""
-    terms = rows.select("nid", analyzed(F.col("text"), analyzer).alias("terms"))
-    return terms.select("nid", F.size("terms").alias("len"), F.posexplode("terms").alias("pos", "term")).select("nid", "term", "pos", "len")
+    """(nid, term, pos, len, version) of every term of rows (nid, text). len: terms of the text; version: a hash of it."""
+    terms = rows.select("nid", F.xxhash64("text").alias("version"), analyzed(F.col("text"), analyzer).alias("terms"))
+    return terms.select("nid", "version", F.size("terms").alias("len"), F.posexplode("terms").alias("pos", "term")).select("nid", "term", "pos", "len", "version")
 
 
 # query strings ----------------------------------------------------------------------------------------------------------
@@ -124,13 +124,9 @@ def _terms_match(tokens: DataFrame, terms: list[str]) -> DataFrame | None:
     hits = tokens.where(F.col("term").isin(terms))
     if len(terms) == 1:
         return hits.select("nid").distinct()
-    place = reduce(lambda c, it: c.when(F.col("term") == it[1], it[0]), enumerate(terms), F.when(F.lit(False), 0)) if len(set(terms)) == len(terms) else None
-    if place is not None:
-        starts = hits.select("nid", (F.col("pos") - place).alias("start"))
-    else:
-        places = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(terms)))
-        starts = hits.select("nid", "pos", "term", F.explode(places).alias("p")).where("term = p.t").select("nid", (F.col("pos") - F.col("p.i")).alias("start"))
-    return starts.groupBy("nid", "start").count().where(F.col("count") == len(terms)).select("nid").distinct()
+    places = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(terms))), lambda p: p["t"] == F.col("term"))
+    starts = hits.select("nid", "version", "pos", F.explode(places).alias("p")).select("nid", "version", (F.col("pos") - F.col("p.i")).alias("start"), "p.i")
+    return starts.groupBy("nid", "version", "start").agg(F.count_distinct("i").alias("n")).where(F.col("n") == len(terms)).select("nid").distinct()
 
 
 def _matches(part: Term | Phrase | Wildcard | Group, tokens: DataFrame, analyzer: str) -> DataFrame | None:

@@ -13,6 +13,7 @@ from thicket.operators.clauses import And, Clause, ConceptIsKindOf, ConceptIs, C
 from thicket.operators.returns import shape
 from thicket.operators.taxonomy import nids
 from thicket.plans.model import CURRENT_VIEW, LATEST, Coordinate, ForType, ReturnType
+from thicket.session import cut
 from thicket.sources.store import TermStore
 
 
@@ -56,8 +57,12 @@ class Query:
         return Context(store, {CURRENT_VIEW: self.view} | self.let)
 
     def compute(self, store: TermStore) -> DataFrame:
-        """The distinct ids that the query finds, as one lazy plan."""
-        ctx, incoming = self.context(store), self.for_.collection(store)
+        """The distinct ids that the query finds.
+
+        The universe is computed once and checkpointed (ids only): clauses refer to it many times, and a plan that repeats it in each
+        takes the optimizer a time that grows exponentially with nesting.
+        """
+        ctx, incoming = self.context(store), cut(self.for_.collection(store))
         found = self.where.compile(ctx, incoming) if isinstance(self.where, Clause) else self.where(ctx, incoming)
         return found.select("nid").distinct()
 
@@ -87,5 +92,5 @@ def simplify(clause: Clause) -> Clause:
 
 
 def example_query(kind: int, child: int, concept: int) -> Query:
-    """Everything that is a kind of one concept, not a child of another, or a third itself."""
-    return Query(Or(And(ConceptIsKindOf("kind"), Not(ConceptIsChildOf("parent"))), ConceptIs("one")), let={"kind": kind, "parent": child, "one": concept})
+    """What is a kind of one concept, no child of another, and a third itself."""
+    return Query(And(ConceptIsKindOf("kind"), Not(ConceptIsChildOf("parent")), ConceptIs("one")), let={"kind": kind, "parent": child, "one": concept})

@@ -27,6 +27,9 @@ def as_of_texts(description: DataFrame, annotations: DataFrame) -> DataFrame:
     return met.withColumn("before", F.lag("text").over(order)).where("before IS NULL OR before != text").drop("before")
 
 
+SCHEMA = "nid long, term string, pos int, len int, version long"
+
+
 class TokenIndex:
     """A token table on disk, grown by appending. Each batch is a generation; of what was indexed twice the reader sees one copy.
 
@@ -49,8 +52,8 @@ class TokenIndex:
     def tokens(self) -> DataFrame:
         fs, path = self._hadoop()
         if not fs.exists(path):
-            return self.spark.createDataFrame([], "nid long, term string, pos int, len int")
-        return self.spark.read.schema("nid long, term string, pos int, len int, generation long").parquet(self.path).select("nid", "term", "pos", "len").distinct()
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(f"{SCHEMA}, generation long").parquet(self.path).drop("generation").distinct()
 
     def generation(self) -> int:
         """The last generation that can be searched; -1 if there is none."""
