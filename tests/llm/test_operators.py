@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
