@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings over hashed text.
 
 Grades: 0 toxic, 1 poor, 2 good. P(grade <= k) = sigmoid(t_k - s), with ordered thresholds t_0 < t_1 and one score s that all grades share:
-the sum of the weights of the hashed words that a text has, of their shapes, and of its share of different words. The expected
+the sum of the weights of the hashed words and word beginnings that a text has, of their shapes, and of its share of different words. The expected
 grade is 2 - P(<=0) - P(<=1); the tail probability P(grade = 2) selects.
 
 Fitting takes at most ``MAX_LABELLED`` labelled documents (those whose ids hash lowest, so the choice is fixed and even over sources),
@@ -37,19 +37,24 @@ _SHARES = 11
 SIZE = (1 << BITS) + _SHAPES + _SHARES
 
 
-def _word(word: bytes) -> tuple[int, int]:
-    """The features of a word: its letters, hashed, and its shape (capitals, and its last sign)."""
+def _hash(kind: bytes, part: bytes) -> int:
+    return xxhash.xxh32_intdigest(kind + part) & ((1 << BITS) - 1)
+
+
+def _word(word: bytes) -> tuple[int, ...]:
+    """The features of a word: its letters and how they begin, hashed, and its shape (capitals, and its last sign)."""
     core = word.strip(_SIGNS)
     last = _SIGNS.find(word[-1:]) + 1 if word[-1:] not in (b".", b",") else 0
     upper = (2 if len(core) > 1 and core.isupper() else 0) + (not core)
-    return xxhash.xxh32_intdigest(core.lower()) & ((1 << BITS) - 1), (1 << BITS) + 4 * last + upper
+    shape, low = (1 << BITS) + 4 * last + upper, core.lower()
+    return (_hash(b"", low), shape) if len(low) <= 4 else (_hash(b"", low), shape, _hash(b"4", low[:4]), _hash(b"5", low[:5]))
 
 
 class Features:
     """Sorted distinct features of a text. Words already met are kept, up to a bound."""
 
     def __init__(self) -> None:
-        self._known: dict[bytes, tuple[int, int]] = {}
+        self._known: dict[bytes, tuple[int, ...]] = {}
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").split()
