@@ -26,27 +26,50 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thicket.llm.common import scratch_path, utf8
+from thicket.llm.common import scratch_path
 
 MAGIC = b"TKPACK01"
 #: magic, width, ids in a block, documents, documents without a doc_id, ids, blocks
 _HEADER = struct.Struct("<8sIIQQQQ")
 BLOCK_IDS = 4096
-CACHE_WORDS = 400_000
+#: Entries of each generation of the encoder's cache: about 100 MB a worker at most.
+CACHE_WORDS = 250_000
 
 # A chunk of these letters (composed, one lower-case letter each) and signs is split by the tokenizer between the two.
-_SIMPLE = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*%&$#]*)")
+_LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[.,;:!?|*%&$#]"
 
 
 # encoding ---------------------------------------------------------------------------------------------------------------
 
 
+class _Recent(dict):
+    """A bounded cache in two generations: what was not asked for while the young one filled up is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self._most, self._old = most, {}
+
+    def missing(self, keys: list) -> list:
+        """The keys that are not known; all others can then be read."""
+        if len(self) > self._most:
+            self._old = dict(self)
+            self.clear()
+        out, old = [], self._old
+        for k in [k for k in keys if k not in self]:
+            v = old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self[k] = v
+        return out
+
+
 class ChunkEncoder:
-    """Ids of texts as little-endian uint32 bytes."""
+    """Ids of texts. Splitting, finding distinct chunks and laying out ids are Arrow and numpy; only distinct words meet Python."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,33 +78,36 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self._tokenizer.get_vocab_size()
-        self._chunks: dict[bytes, bytes] = {}
-        self._words: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(x or b"").split() for x in texts]
-        wanted = set().union(*split)
-        if len(self._chunks) > CACHE_WORDS:
-            self._chunks = {c: self._chunks[c] for c in wanted if c in self._chunks}
-        if len(self._words) > CACHE_WORDS:
-            self._words = {}
-        new = [c for c in wanted if c not in self._chunks]
-        parts: list[tuple[bytes, str, str]] = []
-        whole: list[bytes] = []
-        for c in new:
-            if m := _SIMPLE.fullmatch(c.decode()):
-                parts.append((c, m[1].lower(), m[2]))
-            else:
-                whole.append(c)
-        unknown = list({w for _, a, b in parts for w in (a, b) if w not in self._words})
-        self._words.update(zip(unknown, self._encode(unknown), strict=True))
-        for c, a, b in parts:
-            self._chunks[c] = self._words[a] + self._words[b]
-        self._chunks.update(zip(whole, self._encode([c.decode() for c in whole]), strict=True))
-        return [b"".join(map(self._chunks.__getitem__, x)) for x in split]
+        self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self._words = _Recent(CACHE_WORDS)
+
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words, one after another, and how many each has."""
+        unknown = self._words.missing(words)
+        found = self._tokenizer.encode_batch_fast(unknown, add_special_tokens=False)
+        self._words.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(unknown, found, strict=True))
+        raw = list(map(self._words.__getitem__, words))
+        return np.frombuffer(b"".join(raw), dtype=self.kind), np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // self.kind.itemsize
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and how many each text has."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        chunks = split.values.dictionary_encode()
+        kinds, at = chunks.dictionary, chunks.indices.to_numpy()
+        simple = pc.match_substring_regex(kinds, f"^{_LETTERS}+{_SIGNS}*$")
+        core = pc.if_else(simple, pc.utf8_lower(pc.replace_substring_regex(kinds, f"{_SIGNS}*$", "")), kinds)
+        tail = pc.if_else(simple, pc.replace_substring_regex(kinds, f"^{_LETTERS}+", ""), "")
+        both = pa.concat_arrays([core, tail]).dictionary_encode()
+        ids, sizes = self._pieces(both.dictionary.to_pylist())
+        of_kind = both.indices.to_numpy().reshape(2, -1)
+        pieces = of_kind[:, at].T.ravel()  # letters and signs of each chunk, in turn
+        size = sizes[pieces]
+        ends = np.cumsum(size)
+        starts = (np.cumsum(sizes) - sizes)[pieces]
+        flat = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + size, size)]
+        offsets = 2 * split.offsets.to_numpy().astype(np.int64)
+        upto = np.append(0, ends)
+        return flat, upto[offsets[1:] - offsets[0]] - upto[offsets[:-1] - offsets[0]]
 
 
 @lru_cache(maxsize=2)
@@ -175,13 +201,13 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, doc_id:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        to_ids = encoder(tokenizer_path)
         for batch in batches:
-            packed, counts = [], []
-            for raw in to_ids.encode(list(utf8(batch.column(1)))):
-                ids = np.frombuffer(raw + end, dtype="<u4")
-                packed.append(pack(ids, width))
-                counts.append(len(ids))
+            ids, sizes = to_ids.encode(batch.column(1))
+            packed, counts, end = [], [], np.array([end_id], dtype=to_ids.kind)
+            for last, size in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+                packed.append(pack(np.append(ids[last - size : last], end), width))
+                counts.append(size + 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "packed"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
