@@ -29,6 +29,7 @@ from thicket.llm.common import free_name, materialize, utf8
 LENGTH = 50
 K = 16
 WINDOW = LENGTH - K + 1
+SIDE = (LENGTH - K + 1) // 2
 SEGMENT = 1 << 20
 FLUSH = 1 << 19
 SHARD = 8 << 20
@@ -36,7 +37,10 @@ SHARD = 8 << 20
 _RNG = np.random.default_rng(50)
 _BYTE = _RNG.integers(0, 1 << 64, size=256, dtype=np.uint64)
 _BASE = int(_RNG.integers(0, 1 << 63, dtype=np.uint64)) * 2 + 1
+#: a: 40 bits of the anchor's hash and 12 each of what is left and right of it; c: hash of all bytes of the run; at, from the top: 8 bits
+#: of a hash of the text (tag), 9 more of left and right, first window (31), number of windows (6).
 _ROW = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("at", "<i8")])
+_WINDOWS = (1 << 37) - 1
 
 
 def _power(n: int) -> np.uint64:
@@ -48,13 +52,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, content hash, first window and number of windows of each run of a text."""
+def runs(text: bytes) -> np.ndarray:
+    """The rows of a text's runs, without document and tag."""
     out = [_runs(text[i : i + SEGMENT + LENGTH - 1], i) for i in range(0, max(1, len(text) - LENGTH + 1), SEGMENT)] if len(text) >= LENGTH else []
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return np.concatenate(out) if out else np.zeros(0, dtype=_ROW)
 
 
-def _runs(text: bytes, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _runs(text: bytes, base: int) -> np.ndarray:
     h1 = _BYTE[np.frombuffer(text, dtype=np.uint8)]
     h2 = h1[:-1] * _power(1) + h1[1:]
     h4 = h2[:-2] * _power(2) + h2[2:]
@@ -74,14 +78,22 @@ def _runs(text: bytes, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         least = np.minimum(least[: -(WINDOW - width)], least[WINDOW - width :])
     first = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
     count = np.diff(np.append(first, n))
-    anchor = anchors[(least[first] & low).astype(np.int64)]
-    content = _mix(whole[first] + (whole[first + count - 1] << np.uint64(1)) + count.astype(np.uint64))
-    return anchor, content, first + base, count
+    place = (least[first] & low).astype(np.int64)
+    end = first + count - 1 + LENGTH
+    # A window around an anchor of K bytes has SIDE bytes more on the left of it or on the right.
+    h33 = _mix(h32[:-1] * _power(1) + h1[32:])
+    left = np.where(place - SIDE >= first, _short(h33[np.maximum(place - SIDE, 0)]), 0)
+    right = np.where(place + K + SIDE <= end, _short(h33[np.minimum(place, len(h33) - 1)]), 0)
+    table = np.zeros(len(first), dtype=_ROW)
+    table["a"] = (anchors[place] >> np.uint64(24) << np.uint64(24)) | (left >> 9 << 12).astype(np.uint64) | (right >> 9).astype(np.uint64)
+    table["c"] = _mix(whole[first] + (whole[first + count - 1] << np.uint64(1)) + count.astype(np.uint64))
+    table["at"] = (left & 511) << 46 | (right & 511) << 37 | (first + base) << 6 | count
+    return table
 
 
-def _place(first: np.ndarray, count: np.ndarray, tag: int) -> np.ndarray:
-    """First window (40 bits), number of windows (8), and a tag of the text (15) in one number."""
-    return (np.int64(tag) << np.int64(48)) | (first << np.int64(8)) | count
+def _short(h: np.ndarray) -> np.ndarray:
+    """21 bits of a hash, never 0."""
+    return np.maximum(h >> np.uint64(43), np.uint64(1)).astype(np.int64)
 
 
 def _dealt(df: DataFrame, partitions: int) -> DataFrame:
@@ -89,7 +101,7 @@ def _dealt(df: DataFrame, partitions: int) -> DataFrame:
 
     def blocks(rows: list[np.ndarray]) -> pa.RecordBatch:
         table = np.concatenate(rows)
-        part = (table["a"] % np.uint64(partitions)).astype(np.int32)
+        part = ((table["a"] >> np.uint64(24)) % np.uint64(partitions)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         table, part = table[order], part[order]
         cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -104,9 +116,9 @@ def _dealt(df: DataFrame, partitions: int) -> DataFrame:
             for doc, raw, tag in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 if doc is None or raw is None or len(raw) < LENGTH:
                     continue
-                a, c, first, count = runs(raw)
-                table = np.empty(len(a), dtype=_ROW)
-                table["a"], table["c"], table["doc"], table["at"] = a, c, doc, _place(first, count, tag)
+                table = runs(raw)
+                table["doc"] = doc
+                table["at"] |= np.int64(tag) << np.int64(55)
                 waiting.append(table)
                 held += len(table)
                 if held > FLUSH:
@@ -132,20 +144,33 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not tables:
         return
     table = np.concatenate(tables)
-    table = table[np.lexsort((table["doc"], table["c"], table["a"]))]
-    a, c, doc = table["a"], table["c"], table["doc"]
-    new_a = np.append(True, a[1:] != a[:-1])
+    anchor = table["a"] >> np.uint64(24)
+    order = np.lexsort((table["doc"], table["c"], anchor))
+    table, anchor = table[order], anchor[order]
+    c, doc = table["c"], table["doc"]
+    new_a = np.append(True, anchor[1:] != anchor[:-1])
     new_c = new_a | np.append(True, c[1:] != c[:-1])
     group, kind = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
-    least_c = doc[np.flatnonzero(new_c)][kind]
-    least_a = np.minimum.reduceat(doc, np.flatnonzero(new_a))[group]
-    whole = doc > least_c
-    open_groups = np.zeros(group[-1] + 1, dtype=bool)
-    open_groups[group[~whole & (doc > least_a)]] = True  # a run of its own kind, with an anchor that a smaller document has
-    take = np.flatnonzero(whole | open_groups[group])
+    whole = doc > doc[np.flatnonzero(new_c)][kind]
+    # Of runs that are not copies, those may have a window in common with another document's that have the bytes left or right of
+    # their anchor in common with it.
+    rest = np.flatnonzero(~whole)
+    some = np.zeros(len(table), dtype=bool)
+    a, at = table["a"][rest].astype(np.int64), table["at"][rest]
+    for side in ((a >> 12 & 4095) << 9 | at >> 46 & 511, (a & 4095) << 9 | at >> 37 & 511):
+        have = np.flatnonzero(side)
+        key = group[rest[have]] << 21 | side[have]
+        have = have[by := np.argsort(key, kind="stable")]
+        if not len(have):
+            continue
+        first = np.flatnonzero(np.append(True, np.diff(key[by]) != 0))
+        docs = doc[rest[have]]
+        differ = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
+        some[rest[have[np.repeat(differ, np.diff(np.append(first, len(have))))]]] = True
+    take = np.flatnonzero(whole | some)
     for i in range(0, len(take), 1 << 16):
-        some = take[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(table["at"][some]), pa.array(a[some].view(np.int64)), pa.array(whole[some])], ["doc", "at", "a", "whole"])
+        few = take[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[few]), pa.array(table["at"][few]), pa.array(anchor[few].view(np.int64)), pa.array(whole[few])], ["doc", "at", "a", "whole"])
 
 
 # suffix arrays ----------------------------------------------------------------------------------------------------------
@@ -157,12 +182,12 @@ def suffix_ranks(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, dic
     Larsson-Sadakane: a rank is the place of a group's last member; groups of one are settled and not sorted again.
     """
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = np.searchsorted(text[order], text, side="right").astype(np.int64) - 1
+    order = np.argsort(text, kind="stable").astype(np.int32)
+    rank = (np.cumsum(np.bincount(text, minlength=256)) - 1).astype(np.int32)[text]
     ranks, h = {1: rank.copy()}, 1
     while h < depth:
         step = min(h, depth - h)
-        key = np.full(n, -1, dtype=np.int64)
+        key = np.full(n, -1, dtype=np.int32)
         key[: n - step] = rank[step:]
         size = np.bincount(rank, minlength=n)
         loose = np.flatnonzero(size[rank[order]] > 1)  # places of members of groups that are not settled
@@ -258,18 +283,18 @@ def settle(pieces: list[bytes], docs: np.ndarray, shard_bytes: int = SHARD) -> l
 
 
 def _tag(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << 15) - 1))
+    return F.xxhash64(text).bitwiseAND(F.lit(255))
 
 
 def copied(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, tag, at): runs of windows (first << 8 | number) of each document whose bytes a smaller document has."""
+    """(doc, tag, at): runs of windows (first << 6 | number) of each document whose bytes a smaller document has."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), _tag(F.col(text)).cast("int").alias("tag"))
     dealt = _dealt(docs, n).repartitionById(n, F.col("part"))
     met = materialize(dealt.mapInArrow(_met, "doc long, at long, a long, whole boolean"), "met")
-    windows = F.col("at").bitwiseAND(F.lit((1 << 48) - 1))
-    tag = F.shiftright("at", 48).cast("int")
+    windows = F.col("at").bitwiseAND(F.lit(_WINDOWS))
+    tag = F.shiftright("at", 55).cast("int")
     open_runs = met.where("not whole").groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("a", windows.alias("at"))).alias("runs"))
     wanted = docs.join(open_runs, ["doc", "tag"])
 
@@ -278,7 +303,7 @@ def copied(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             for doc, tag_, raw, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3), strict=True):
                 flat = some.values
                 a, at = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-                first, count = (at >> 8).tolist(), (at & 255).tolist()
+                first, count = (at >> 6).tolist(), (at & 63).tolist()
                 pieces = [raw[f : f + c + LENGTH - 1] for f, c in zip(first, count, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array([doc] * len(a), pa.int64()), pa.array([tag_] * len(a), pa.int32()), pa.array(first, pa.int64()), pa.array(pieces, pa.binary())], ["a", "doc", "tag", "first", "piece"])
 
@@ -290,7 +315,7 @@ def copied(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         gone = settle(table.column("piece").to_pylist(), doc)
         if gone:
             piece, window = np.array(gone, dtype=np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(doc[piece]), pa.array(tag_[piece], pa.int32()), pa.array((first[piece] + window) << 8 | 1)], ["doc", "tag", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[piece]), pa.array(tag_[piece], pa.int32()), pa.array((first[piece] + window) << 6 | 1)], ["doc", "tag", "at"])
 
     pieces = wanted.select("doc", "tag", "text", "runs").mapInArrow(cut, "a long, doc long, tag int, first long, piece binary")
     late = pieces.repartition(n, "a").mapInArrow(sort, "doc long, tag int, at long")
@@ -319,8 +344,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str =
                     continue
                 places = some.values.to_numpy()
                 edge = np.zeros(len(raw) + 1, dtype=np.int64)
-                np.add.at(edge, places >> 8, 1)
-                np.add.at(edge, (places >> 8) + (places & 255) + LENGTH - 1, -1)
+                np.add.at(edge, places >> 6, 1)
+                np.add.at(edge, (places >> 6) + (places & 63) + LENGTH - 1, -1)
                 cut = np.cumsum(edge[:-1]) > 0
                 removed.append(int(cut.sum()))
                 spans.append(int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()))
