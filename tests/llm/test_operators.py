@@ -485,3 +485,31 @@ def test_html_tables(spark):
     assert out.columns == ["page_id", "url", "text", "_text", "n_chars"]
     assert sorted(len(r["_text"]) for r in out.collect()) == sorted(r["n_chars"] for r in out.collect())
     assert html_mincut.extract(frame.limit(0)).count() == 0
+
+
+# word order
+
+
+def test_quality_rejects_words_in_no_order(spark):
+    r = random.Random(3)
+    follow = {w: r.sample(VOCAB, 5) for w in VOCAB}
+
+    def chain(n):
+        out = [r.choice(VOCAB)]
+        while len(out) < n:
+            out.append(r.choice(follow[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(chain(120)), "en") for i in range(200)]
+    for i in range(5):
+        words = chain(120)
+        r.shuffle(words)
+        rows.append((1000 + i, " ".join(words), "en"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = quality_rules.rules(frame).collect()
+    kept = {x["doc_id"]: x["kept"] for x in found}
+    assert not any(kept[1000 + i] for i in range(5)) and sum(kept[i] for i in range(200)) >= 195
+    assert {x["doc_id"] for x in quality_rules.kept(frame).collect()} == {d for d, k in kept.items() if k}
+
+
+VOCAB = [a + b for a in ("sto", "lan", "qui", "riv", "map", "cop", "vio", "hol", "amb", "thr") for b in ("rm", "tern", "et", "er", "le", "per", "let", "low", "ead", "ing")]

@@ -1,13 +1,20 @@
 """Quality rules: counts of words, symbols and repeats, and language-specific bands of n-gram perplexity.
 
-The model is a byte trigram model with modified Kneser-Ney smoothing for each language, counted by Spark over all documents and
-kept as sorted arrays of n-gram hashes. A language has at most 256^3 trigrams (200 MB as arrays; real ones have about 10,000), so
-its size is bounded by the alphabet, not by the corpus, and it may be broadcast.
-
-A document's score is its mean negative log probability a byte (the log of its perplexity). Each language gets a band around its
-median score; documents outside are rejected, above the band (noise, markup, other languages) and below it (repetition). The band
-is ``BAND`` robust standard deviations wide on either side, and wider for short texts (``SLACK / sqrt(bytes)``, the spread of a
-mean) and for languages with few documents. Median and spread are exact over all documents, with copies counted once.
+Two models with modified Kneser-Ney smoothing score each text, both counted by Spark over all documents of a language:
+
+* Words (orders 1 to 3). The n-grams grow with the corpus, so they stay distributed tables: counts, contexts and lower orders are
+  joined, and a text's n-grams meet their probabilities by a shuffled join; only discounts and totals (a few numbers a language) come to
+  the driver. Texts are dealt into two folds by their hash, and each is scored with the counts of the other fold, so no text (nor
+  a copy of it) vouches for itself.
+* Bytes (trigrams), for spelling and markup. A language has at most 256^3 of them (200 MB as sorted arrays of hashes; real ones have
+  about 10,000), so this model is bounded by the alphabet and may be broadcast.
+
+A document's scores are its mean negative log probability a byte and a word (the logs of its perplexities). Each language gets a band
+around its median score. Documents outside the band of bytes are rejected, above it (noise, markup, other languages) and below it
+(repetition), and those above the band of words (words in no plausible order). Below the latter lie texts with a near copy in the
+other fold, which is not a fault. The bands are ``BAND`` robust standard deviations wide on either side, and wider for short texts
+(``SLACK / sqrt(bytes)``, ``WORD_SLACK / sqrt(words)``, the spread of a mean) and for languages with few documents. Median and spread
+are exact over all documents, with copies counted once.
 
 Nulls: a null text has no words and fails the base rules; null languages make one group. A null id is carried along.
 """
@@ -20,15 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from thicket.llm.common import ASCII_WS, free_name, materialize, utf8
+from thicket.llm.decontaminate import word_hashes
 
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 SYMBOLS = b"#*$%&|<>"
 BAND = 3.0
 SLACK = 1.0
+WORD_SLACK = 3.0
 BIN = 1e-4
 _FLUSH = 1 << 22
 
@@ -115,7 +124,11 @@ class KneserNey:
 
 def _discounts(n: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts of 0, 1, 2, and 3 or more."""
-    n1, n2, n3, n4 = (max(1, int((n == i).sum())) for i in (1, 2, 3, 4))
+    return _discounts_of(*(max(1, int((n == i).sum())) for i in (1, 2, 3, 4)))
+
+
+def _discounts_of(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """The same from how many n-grams have a count of 1, 2, 3 and 4."""
     y = n1 / (n1 + 2 * n2)
     return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.85])
 
@@ -172,6 +185,62 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Knes
     return {key: kneser_ney(grams[langs == key], n[langs == key]) for key in dict.fromkeys(langs.tolist())}
 
 
+# words ------------------------------------------------------------------------------------------------------------------
+
+
+def word_grams(df: DataFrame, langs: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """(l, doc, a, b, c): each word c of each text after the two before it (0 before the text). l: place in ``langs``, doc: hash of the text."""
+    code = F.create_map(*(x for i, key in enumerate(langs) for x in (F.lit(key), F.lit(i))))
+    texts = df.select(code[F.coalesce(F.col(lang).cast("string"), F.lit(""))].alias("l"), F.xxhash64(text).alias("doc"), word_hashes(F.col(text)).alias("words"))
+    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    before = (F.coalesce(F.get("words", F.col("at") - back), F.lit(0)).alias(name) for back, name in ((2, "a"), (1, "b"), (0, "c")))
+    return texts.select("l", "doc", "words", F.explode(places).alias("at")).select("l", "doc", *before)
+
+
+def _context(counts: DataFrame, *by: str) -> DataFrame:
+    """Of each context and fold: the sum t of the counts n, and how many n are 1, 2, and 3 or more."""
+    sums = []
+    for f in (0, 1):
+        n = F.col(f"n{f}")
+        sums += [F.sum(n).alias(f"t{f}"), *(F.sum(is_k.cast("long")).alias(f"k{f}{k}") for k, is_k in ((1, n == 1), (2, n == 2), (3, n >= 3)))]
+    return counts.groupBy(*by).agg(*sums)
+
+
+def _word_discounts(counts: DataFrame, n_langs: int) -> tuple[Column, Column]:
+    """Discounts (0, d1, d2, d3) of one order by language, a column for each fold."""
+    n = [F.sum((F.col(f"n{f}") == k).cast("long")).alias(f"n{f}{k}") for f in (0, 1) for k in (1, 2, 3, 4)]
+    found = {r["l"]: r for r in counts.groupBy("l").agg(*n).collect()}
+    out = []
+    for f in (0, 1):
+        d = [_discounts_of(*(max(1, found[i][f"n{f}{k}"]) if i in found else 1 for k in (1, 2, 3, 4))) for i in range(n_langs)]
+        out.append(F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in d))[F.col("l")])
+    return out[0], out[1]
+
+
+def _probability(f: int, d: Column, lower: Column) -> Column:
+    """Interpolated, from the counts of one fold; a context that the fold has not leaves all to the lower order."""
+    n, t = F.col(f"n{f}"), F.col(f"t{f}")
+    left = sum(d[k] * F.col(f"k{f}{k}") for k in (1, 2, 3))
+    return F.when(t > 0, (n - d[F.least(n, F.lit(3)).cast("int")] + left * lower) / t).otherwise(lower)
+
+
+def word_scores(df: DataFrame, langs: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """(l, doc, word_score): mean negative log probability of the words of each text, by the other fold's counts."""
+    grams = word_grams(df, langs, text, lang)
+    fold = F.col("doc").bitwiseAND(F.lit(1))
+    n3 = materialize(grams.groupBy("l", "a", "b", "c").agg(*(F.sum((fold == f).cast("long")).alias(f"n{f}") for f in (0, 1))), "trigrams")
+    n2 = materialize(n3.groupBy("l", "b", "c").agg(*(F.sum((F.col(f"n{f}") > 0).cast("long")).alias(f"n{f}") for f in (0, 1))), "bigrams")
+    n1 = materialize(n2.groupBy("l", "c").agg(*(F.sum((F.col(f"n{f}") > 0).cast("long")).alias(f"n{f}") for f in (0, 1))), "words")
+    d1, d2, d3 = (_word_discounts(n, len(langs)) for n in (n1, n2, n3))
+    sizes = F.broadcast(_context(n1, "l").join(n1.groupBy("l").agg(F.count("*").alias("words")), "l"))  # a row for each language
+    p1 = n1.join(sizes, "l").select("l", "c", *(_probability(f, d1[f], 1 / (F.col("words") + 1)).alias(f"p{f}") for f in (0, 1)))
+    p2 = n2.join(_context(n2, "l", "b"), ["l", "b"]).join(p1, ["l", "c"]).select("l", "b", "c", *(_probability(f, d2[f], F.col(f"p{f}")).alias(f"p{f}") for f in (0, 1)))
+    p3 = n3.join(_context(n3, "l", "a", "b"), ["l", "a", "b"]).join(p2, ["l", "b", "c"])
+    logs = p3.select("l", "a", "b", "c", *(F.log(_probability(f, d3[f], F.col(f"p{f}"))).cast("float").alias(f"log{f}") for f in (0, 1)))
+    each = grams.join(logs, ["l", "a", "b", "c"]).select("l", "doc", F.when(fold == 0, F.col("log1")).otherwise(F.col("log0")).alias("log"))
+    return each.groupBy("l", "doc").agg(F.round(-F.avg("log"), 6).alias("word_score"))
+
+
 # rules ------------------------------------------------------------------------------------------------------------------
 
 
@@ -222,13 +291,12 @@ def score(df: DataFrame, models: dict[str, KneserNey], text: str = "text", lang:
     return with_key.mapInArrow(run, T.StructType([*fields, T.StructField(out, struct)]))
 
 
-def bands(scored: DataFrame, quality: str = "quality") -> dict[str, tuple[float, float]]:
-    """Median and robust spread of the scores of each language; texts of the same length and score count once.
+def bands(scored: DataFrame, lang: Column, size: Column, score: Column) -> dict[str, tuple[float, float]]:
+    """Median and robust spread of the scores of each language; texts of the same size and score count once.
 
     At most one row for each language and score in steps of ``BIN`` comes to the driver; scores lie under log(2^40).
     """
-    q = F.col(quality)
-    rows = scored.select(q["lang"].alias("lang"), q["n_bytes"].alias("n"), q["score"].alias("s")).where("s is not null").distinct()
+    rows = scored.select(lang.alias("lang"), size.alias("n"), score.alias("s")).where("s is not null").distinct()
     binned = rows.groupBy("lang", F.round(F.col("s") / BIN).cast("long").alias("bin")).count().toArrow()
     by: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for x in binned.to_pylist():
@@ -247,31 +315,65 @@ def _middle(x: np.ndarray) -> tuple[float, float]:
     return mid * BIN, max(spread, 0.005) + 0.5 / np.sqrt(x[:, 1].sum())
 
 
-def verdict(scored: DataFrame, found: dict[str, tuple[float, float]], quality: str = "quality") -> tuple[F.Column, F.Column]:
-    """Columns base_failed and kept for the rows of ``score``."""
+def _over(found: dict[str, tuple[float, float]], lang: Column, score: Column, slack: Column) -> Column:
+    """How far a score lies above (below: under 0) its language's median, in units of the room it has; null without a score."""
+    if not found:
+        return F.lit(None).cast("double")
+    table = F.create_map(*(x for key, (mid, spread) in sorted(found.items()) for x in (F.lit(key), F.array(F.lit(mid), F.lit(spread)))))
+    return (score - table[lang][0]) / (BAND * table[lang][1] + slack)
+
+
+def verdict(scored: DataFrame, of_bytes: dict[str, tuple[float, float]], of_words: dict[str, tuple[float, float]], quality: str, word_score: str) -> tuple[Column, Column]:
+    """Columns base_failed and kept for the rows of ``score`` with their word scores."""
     q = F.col(quality)
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > 100 * MAX_REPEATED * q["n_words"])
-    inside = F.lit(True)
-    if found:
-        table = F.create_map(*(x for key, (mid, spread) in sorted(found.items()) for x in (F.lit(key), F.array(F.lit(mid), F.lit(spread)))))
-        band = table[q["lang"]]
-        room = BAND * band[1] + SLACK / F.sqrt(q["n_bytes"])
-        inside = F.coalesce(F.abs(q["score"] - band[0]) <= room, F.lit(True))
-    return failed, ~failed & inside
+    spelled = F.abs(_over(of_bytes, q["lang"], q["score"], SLACK / F.sqrt(q["n_bytes"]))) <= 1
+    ordered = _over(of_words, q["lang"], F.col(word_score), WORD_SLACK / F.sqrt(q["n_words"])) <= 1
+    return failed, ~failed & F.coalesce(spelled, F.lit(True)) & F.coalesce(ordered, F.lit(True))
+
+
+def _with_words(scored: DataFrame, words: DataFrame, langs: list[str], quality: str, doc: str, out: str) -> DataFrame:
+    """``scored`` with the word score of each row's text, whose hash is in the column ``doc``; this column goes."""
+    if not langs:
+        return scored.drop(doc).withColumn(out, F.lit(None).cast("double"))
+    names = F.array(*(F.lit(x) for x in langs))
+    right = words.select(names[F.col("l")].alias("_l"), F.col("doc").alias("_d"), F.col("word_score").alias("_s"))
+    joined = scored.join(right, (F.col(quality)["lang"] == F.col("_l")) & (F.col(doc) == F.col("_d")), "left")
+    return joined.select(*(scored[c] for c in scored.columns if c != doc), F.col("_s").alias(out))
+
+
+def _scores(df: DataFrame, models: dict[str, KneserNey], text: str, lang: str) -> tuple[list[str], DataFrame | None]:
+    langs = sorted(models)
+    return langs, materialize(word_scores(df, langs, text, lang), "word-scores") if langs else None
 
 
 def rules(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Counts, score and verdict of every document: its columns without the text, the counts, log_perplexity, base_failed, kept."""
-    scored = materialize(score(df, fit(df, text, lang), text, lang, keep_text=False), "quality")
-    name = scored.columns[-1]
-    failed, kept = verdict(scored, bands(scored, name), name)
-    rest = [c for c in scored.columns[:-1] if c not in (*COUNTS, "log_perplexity", "base_failed", "kept")]
-    return scored.select(*rest, *(F.col(name)[c].alias(c) for c in COUNTS), F.col(name)["score"].alias("log_perplexity"), failed.alias("base_failed"), kept.alias("kept"))
+    """Counts, scores and verdict of every document: its columns without the text, the counts, log_perplexity (a byte), word_log_perplexity, base_failed, kept."""
+    models = fit(df, text, lang)
+    langs, words = _scores(df, models, text, lang)
+    doc = free_name(df, "text_hash")
+    scored = score(df.withColumn(doc, F.xxhash64(text)), models, text, lang, keep_text=False)
+    name, out = scored.columns[-1], free_name(scored, "word_score")
+    scored = materialize(_with_words(scored, words, langs, name, doc, out), "quality")
+    q = F.col(name)
+    failed, kept = verdict(scored, bands(scored, q["lang"], q["n_bytes"], q["score"]), bands(scored, q["lang"], q["n_words"], F.col(out)), name, out)
+    rest = [c for c in scored.columns[:-2] if c not in (*COUNTS, "log_perplexity", "word_log_perplexity", "base_failed", "kept")]
+    return scored.select(*rest, *(q[c].alias(c) for c in COUNTS), q["score"].alias("log_perplexity"), F.col(out).alias("word_log_perplexity"), failed.alias("base_failed"), kept.alias("kept"))
 
 
 def kept(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``df`` that the rules keep, columns unchanged; texts are not shuffled but scored twice."""
+    """The rows of ``df`` that the rules keep, columns unchanged; scored once for the bands and once with the texts."""
     models = fit(df, text, lang)
-    found = bands(score(df.select(text, lang), models, text, lang, keep_text=False))
-    scored = score(df, models, text, lang)
-    return scored.where(verdict(scored, found, scored.columns[-1])[1]).select(*df.columns)
+    langs, words = _scores(df, models, text, lang)
+    doc = free_name(df, "text_hash")
+    hashed = df.withColumn(doc, F.xxhash64(text))
+    plain = score(hashed.select(text, lang, doc), models, text, lang, keep_text=False)
+    out = free_name(df, "word_score")
+    plain_name = plain.columns[-1]
+    plain = materialize(_with_words(plain, words, langs, plain_name, doc, out), "quality")
+    q = F.col(plain_name)
+    of_bytes, of_words = bands(plain, q["lang"], q["n_bytes"], q["score"]), bands(plain, q["lang"], q["n_words"], F.col(out))
+    scored = score(hashed, models, text, lang)
+    name = scored.columns[-1]
+    scored = _with_words(scored, words, langs, name, doc, out)
+    return scored.where(verdict(scored, of_bytes, of_words, name, out)[1]).select(*df.columns)
