@@ -305,6 +305,16 @@ def test_a_repeated_passage_of_few_long_sentences_goes(spark):
     assert all(x in kept[1] and x not in kept[2] for x in long)
 
 
+def test_a_repeated_passage_of_short_lines_or_cut_sentences_goes(spark):
+    verse = "\n".join(" ".join(sentence(3)[:-1].split()) for _ in range(20))  # 60 words in lines of 3
+    inner, head, tail = sentence(8) + " " + sentence(8), sentence(20)[:-1], sentence(20)[:-1]
+    cut = f"{head} {sentence(3)} {inner} {tail}"
+    rows = [(1, f"{sentence()}\n{verse}\n{sentence()}"), (2, f"{sentence()}\n{verse}\n{sentence()}"), (3, f"Other {cut} words."), (4, f"More {cut} end.")]
+    kept = {r["doc_id"]: r["text"] for r in sentence_spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert verse in kept[1] and not any(line in kept[2] for line in verse.split("\n"))
+    assert inner in kept[3] and not any(x in kept[4] for x in inner.split(". "))
+
+
 # token packing
 
 
