@@ -448,6 +448,23 @@ def test_decontamination(spark, empty):
     assert decontaminate.overlaps(frame.limit(0), benchmark).count() == 0 == decontaminate.overlaps(frame, benchmark.limit(0)).count()
 
 
+def test_decontamination_of_short_items_misses_no_substitution(spark):
+    rows, items, expect = [], [], set()
+    for n in range(4, 14):
+        item = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for one in range(n):
+            for other in range(one, n + 1):  # n: none
+                words = ["other" if i in (one, other) else w for i, w in enumerate(item)] if other < n else item
+                agree = sum(a == b for a, b in zip(words, item))
+                rows.append((len(rows), "before it " + " ".join(words) + " after it"))
+                if agree >= (n if n < 10 else -(-8 * n // 10)):
+                    expect.add((rows[-1][0], n, agree))
+    frame, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.BROADCAST_SEEDS, 3):
+        assert {(r["doc_id"], r["item_id"], r["n_matched"]) for r in decontaminate.overlaps(frame, benchmark, broadcast_seeds=most).collect()} == expect
+
+
 def test_decontamination_runs_no_python(spark, docs):
     benchmark = spark.createDataFrame([(1, prose(30))], "item_id long, text string")
     plan = decontaminate.overlaps(docs, benchmark)._jdf.queryExecution().toString()

@@ -5,8 +5,9 @@ elsewhere. Hashes of all places in documents meet the hashes of all places in th
 along the item without gaps, and the pair counts if in some window of ``WINDOW`` words (or the whole item, if shorter) at least
 ``SIMILARITY`` of the words agree.
 
-Words are runs of letters and digits of the lower-cased text. Items of fewer words than a mask spans are looked for as a whole,
-word for word; items of fewer than ``LEAST`` words are too short to prove anything and are never found. Null and empty texts hold
+Words are runs of letters and digits of the lower-cased text. Items shorter than a window have too few places for the masks: they are
+cut into one piece more than words may differ, so one piece is always intact, and the pieces are their seeds. Items of fewer words than a
+mask spans must agree word for word and are one piece; items of fewer than ``LEAST`` words are too short to prove anything and are never found. Null and empty texts hold
 no words. Rows without a doc_id cannot be named in the result and are left alone; repeated rows give one result.
 
 The benchmark's hashes are broadcast if there are at most ``BROADCAST_SEEDS`` (16 MB or so), which is counted first; beyond it they
@@ -15,6 +16,8 @@ are joined by shuffled hash, and the documents with hits are read again to verif
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thicket.llm.common import materialize
@@ -39,16 +42,27 @@ def _places(words: Column, span: int) -> Column:
     return F.when(F.size(words) >= span, F.sequence(F.lit(0), F.size(words) - span)).otherwise(F.array().cast("array<int>"))
 
 
+def _pieces(n: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of an item of n words, one of which no accepted pair has a difference in."""
+    k = 1 if n < SPAN else n - ceil(SIMILARITY * n) + 1
+    edges = [n * i // k for i in range(k + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _whole(words: str, at: Column, n: int) -> Column:
+    """The key of n words in a row."""
+    return F.xxhash64(F.lit(-n), *(F.get(words, at + o) for o in range(n)))
+
+
 def _hashed(df: DataFrame, words: str, at: str, spans: list[int]) -> DataFrame:
-    """A row for each mask and place, with columns ``at`` and ``key``; spans: shorter lengths that items have, for whole items."""
+    """A row for each mask and place, with columns ``at`` and ``key``; spans: lengths of the pieces of short items."""
     # masks are rows too: one hash in the generated loop keeps its code small enough for the JIT compiler
     masks = F.array(*(F.array(F.lit(i), *(F.lit(o) for o, bit in enumerate(m) if bit == "1")) for i, m in enumerate(MASKS)))
     place = df.select("*", F.explode(_places(F.col(words), SPAN)).alias(at)).select("*", F.explode(masks).alias("mask"))
     key = F.xxhash64(F.get("mask", F.lit(0)), *(F.get(words, F.col(at) + F.get("mask", F.lit(i))) for i in range(1, WEIGHT + 1)))
     parts = [place.select("*", key.alias("key")).drop("mask")]
     for n in spans:
-        whole = F.xxhash64(F.lit(-n), *(F.get(F.col(words), F.col(at) + o) for o in range(n)))
-        parts.append(df.select("*", F.explode(_places(F.col(words), n)).alias(at)).select("*", whole.alias("key")))
+        parts.append(df.select("*", F.explode(_places(F.col(words), n)).alias(at)).select("*", _whole(words, F.col(at), n).alias("key")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -73,12 +87,13 @@ def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     """(doc_id, item_id, n_matched, n_window, similarity): each document and item that overlap, with their best window."""
     items = benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("item")).where((F.size("item") >= LEAST) & F.col("item_id").isNotNull())
     items = materialize(items, "items")
-    # lengths of short items: at most SPAN - LEAST of them
-    spans = sorted(r[0] for r in items.where(F.size("item") < SPAN).select(F.size("item")).distinct().collect())
-    short = items.where(F.size("item") < SPAN)
-    seeds = _hashed(items.where(F.size("item") >= SPAN), "item", "item_at", [])
-    for n in spans:
-        seeds = seeds.unionByName(_hashed(short.where(F.size("item") == n), "item", "item_at", [n]).where(F.size("item") == n))
+    # lengths of short items: at most WINDOW - LEAST of them
+    sizes = sorted(r[0] for r in items.where(F.size("item") < WINDOW).select(F.size("item")).distinct().collect())
+    spans = sorted({length for n in sizes for _, length in _pieces(n)})
+    seeds = _hashed(items.where(F.size("item") >= WINDOW), "item", "item_at", [])
+    for n in sizes:
+        for start, length in _pieces(n):
+            seeds = seeds.unionByName(items.where(F.size("item") == n).select("*", F.lit(start).alias("item_at"), _whole("item", F.lit(start), length).alias("key")))
     seeds = seeds.distinct()
     small = seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), word_hashes(F.col(text)).alias("words"))
