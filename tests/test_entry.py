@@ -34,6 +34,16 @@ def test_query_finds_what_its_sql_finds(spark, sql, name):
     assert rows(ours) == rows(theirs)
 
 
+@pytest.mark.parametrize("name, documents", [("index_asof_all", "SELECT count(DISTINCT nid - 20000000000000) = (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) FROM ours"), ("changed_from_previous_all", None)])
+def test_query_reads_every_document(spark, sql, name, documents):
+    ours = __spark_entry__.queries()[name](spark, SF).toPandas()
+    theirs = sql.execute(__spark_entry__.oracle_sql()[name]).df()
+    rows = lambda df: sorted(map(tuple, df[sorted(theirs.columns)].astype(str).values.tolist()))
+    assert rows(ours) == rows(theirs)
+    if documents:
+        assert sql.execute(documents).fetchone()[0]
+
+
 def test_entry_runs(spark):
     if not Path(SF).is_dir():
         pytest.skip("no test tables here")

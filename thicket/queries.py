@@ -18,7 +18,7 @@ from thicket.plans import serde
 from thicket.plans.model import LATEST, ForType, ReturnType, State
 from thicket.plans.query import ForSet, Query, example_query
 from thicket.session import ensure_checkpoint_dir
-from thicket.sources.tables import BRAND, CUSTOMER, EVENTS, IS_A, LABELS, LINE, NATION, ORDER, PART, PART_TYPE, REFSET, REGION, ROOT, STEP, SUPPLIER, USER, VECTORS, named_nid, pair_nid, star_store
+from thicket.sources.tables import BRAND, CUSTOMER, DOCUMENT, EVENTS, IS_A, LABELS, LINE, NATION, ORDER, PART, PART_TYPE, REFSET, REGION, ROOT, STEP, SUPPLIER, USER, VECTORS, named_nid, pair_nid, star_store
 from thicket.streaming.index import TokenIndex, as_of_texts, changed_versions
 
 # SQL --------------------------------------------------------------------------------------------------------------------
@@ -199,10 +199,17 @@ _store("snapshot_as_of", lambda st: st.snapshot("concept", _HOUR).where(f"nid >=
 _BOTH_STATES = LATEST.at(2005, 1, 1)
 
 
-def _edited_store(spark: SparkSession, sf_dir: str):
-    """Documents of source src0 were edited in 2020."""
+def _documents(description: DataFrame, source: str | None) -> DataFrame:
+    """The descriptions that are documents, of one source or of all."""
+    if source is None:
+        return description.where(F.col("nid").between(DOCUMENT * STEP, (DOCUMENT + 1) * STEP - 1))
+    return description.where(F.col("ext_type") == F.md5(F.lit(source)))
+
+
+def _edited_store(spark: SparkSession, sf_dir: str, source: str | None = "src0"):
+    """Documents of a source (None: all) were edited in 2020."""
     store = star_store(spark, sf_dir)
-    rows = store.description.where(F.col("ext_type") == F.md5(F.lit("src0"))).where("state = 'ACTIVE'")
+    rows = _documents(store.description, source).where("state = 'ACTIVE'")
     store.description = store.description.unionByName(rows.withColumns({"text": F.concat("text", F.lit(" edited")), "time": F.expr("timestamp_ntz'2020-01-01 00:00:00'")}))
     return store
 
@@ -210,6 +217,8 @@ def _edited_store(spark: SparkSession, sf_dir: str):
 _changed = Query(ChangedFromPreviousVersion("then"), let={"then": _BOTH_STATES})
 _register("changed_from_previous", lambda spark, sf_dir: _changed.results(_edited_store(spark, sf_dir)), _sql("SELECT DISTINCT concept_nid AS nid FROM descr_v WHERE ext_type = md5('src0') AND text IS NOT NULL"))
 
+_register("changed_from_previous_all", lambda spark, sf_dir: _changed.results(_edited_store(spark, sf_dir, None)), _sql(f"SELECT DISTINCT concept_nid AS nid FROM descr_v WHERE nid >= {DOCUMENT * STEP} AND nid < {(DOCUMENT + 1) * STEP} AND text IS NOT NULL"))
+
 # descriptions
 _re = {"re": r"(?s)[Th].*\n.*is\b.*", "part_re": r".*(ring|bolt).*", "two": r"small .*"}
 _query("desc_regex", DescriptionRegexMatch("re"), _sql(r"SELECT DISTINCT nid FROM descr_v WHERE regexp_full_match(text, '(?s)[Th].*\n.*is\b.*')"), let=_re, for_=DESCRIPTIONS)
@@ -300,20 +309,22 @@ _store("dyn_array_float", lambda st: dynamic.between(st.dynamic, 0.3, None, asse
 _store("index_changed_versions", lambda st: changed_versions(st.description).select("nid", "time"), _sql("SELECT nid, min(time) AS time FROM descr_v GROUP BY nid"))
 
 
-def _annotations(st) -> DataFrame:
-    """Three annotations of each src1 document: before its first version, between versions, after the last."""
-    docs = st.description.where(F.col("ext_type") == F.md5(F.lit("src0"))).select("nid").distinct()
+def _annotations(st, source: str | None) -> DataFrame:
+    """Three annotations of each document of a source (None: of all): before its first version, between versions, after the last."""
+    docs = _documents(st.description, source).select("nid").distinct()
     times = F.array(*(F.expr(f"timestamp_ntz'{t} 00:00:00'") for t in ("1980-01-01", "2000-01-01", "2022-01-01")))
     return docs.select("nid", F.lit("ann").alias("ext_type"), F.explode(times).alias("time"))
 
 
-def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = _edited_store(spark, sf_dir)
-    return as_of_texts(st.description, _annotations(st)).select("nid", "time", F.md5("text").alias("text_md5"))
+def _asof(spark: SparkSession, sf_dir: str, source: str | None = "src0") -> DataFrame:
+    st = _edited_store(spark, sf_dir, source)
+    return as_of_texts(st.description, _annotations(st, source)).select("nid", "time", F.md5("text").alias("text_md5"))
 
 
 _register("index_asof_ext_type", _asof, """WITH docs AS (SELECT 20000000000000 + doc_id AS nid, text FROM documents WHERE source = 'src0' AND text IS NOT NULL)
 SELECT nid, TIMESTAMP '1980-01-01' AS time, md5(text) AS text_md5 FROM docs UNION ALL SELECT nid, TIMESTAMP '2022-01-01', md5(text || ' edited') FROM docs""")
+_register("index_asof_all", lambda spark, sf_dir: _asof(spark, sf_dir, None), """WITH docs AS (SELECT 20000000000000 + doc_id AS nid, text FROM documents WHERE text IS NOT NULL)
+SELECT nid, TIMESTAMP '1980-01-01' AS time, md5(text) AS text_md5 FROM docs UNION ALL SELECT nid, TIMESTAMP '2022-01-01', md5(text || ' edited') FROM docs""")
 
 
 def _config(spark: SparkSession) -> DataFrame:
