@@ -488,6 +488,17 @@ def test_main_text():
     html_mincut.main_text("<" * 1000 + "<p" * 100 + "</" + "<!--")
 
 
+@pytest.mark.parametrize("before", ['<svg-icon name="x"></svg-icon>', "<template-part></template-part>", "<object-viewer>", "<style-guide/>", "<object>", "<canvas>", "<math>", "<svg>", "<iframe>", "<noscript>"])
+def test_main_text_after_embedded_elements(before):
+    said = "The quiet river rose overnight, and the storm took the lantern with it."
+    assert html_mincut.main_text(f"<body><article>{before}<p>{said}</p></article></body>") == said
+
+
+def test_main_text_holds_formulas_and_fallbacks_but_no_code():
+    page = "<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> the river <object data=a>map of it</object> rose.</p><script>var a;</script><style >p{}</style><template><p>No.</p></template></article>"
+    assert html_mincut.main_text(page) == "Where x=2 the river map of it rose."
+
+
 def test_main_text_without_semantic_elements():
     page = '<div class="menu"><a href=1>Home</a> <a href=2>News</a></div><div>' + "".join(f"<p>{sentence(25)}</p>" for _ in range(4)) + '</div><div class="footer">Imprint</div>'
     text = html_mincut.main_text(page)

@@ -10,7 +10,8 @@ their edges become terminal capacities of their neighbours; a max-flow over the
 
 Character references are decoded, white space inside a block is one space, blocks are joined by one space in page order. Null and
 empty pages, and pages without content, give an empty text. Broken markup is read as browsers do in the common cases (unclosed and
-crossing elements, stray ``<``). Pages are independent rows: nulls in id or url and repeated rows are carried along.
+crossing elements, stray ``<``). Only scripts, styles and templates are skipped unread; what stands in other embedded elements (math, svg,
+object, canvas, iframe, noscript) is text like any other. Pages are independent rows: nulls in id or url and repeated rows are carried along.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, types as T
 from thicket.llm.common import free_name
 
 _TOKEN = regex.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"<!--.*?(?:--!?>|\Z)|<(?P<raw>script|style|template)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^>]*>))*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     regex.S | regex.I,
 )
