@@ -2,12 +2,10 @@
 
 Two models with modified Kneser-Ney smoothing score each text, both counted by Spark over all documents of a language:
 
-* Words (orders 1 to 3). The n-grams grow with the corpus, so they stay distributed tables: counts, contexts and lower orders are
-  joined, and a text's n-grams meet their probabilities by a shuffled join; only discounts and totals (a few numbers a language) come to
-  the driver. Texts are dealt into two folds by their hash, and each is scored with the counts of the other fold, so no text (nor
-  a copy of it) vouches for itself.
 * Bytes (trigrams), for spelling and markup. A language has at most 256^3 of them (200 MB as sorted arrays of hashes; real ones have
   about 10,000), so this model is bounded by the alphabet and may be broadcast.
+* Words (bigrams, which leave what they lack to the spelling), see ``word_model``. They grow with the corpus and stay distributed as
+  sorted arrays of hashes. Each text is scored with the counts of the other fold, so it does not vouch for itself.
 
 A document's scores are its mean negative log probability a byte and a word (the logs of its perplexities). Each language gets a band
 around its median score. Documents outside the band of bytes are rejected, above it (noise, markup, other languages) and below it
@@ -27,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from thicket.llm import word_model
 from thicket.llm.common import ASCII_WS, free_name, materialize, utf8
-from thicket.llm.decontaminate import word_hashes
 
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
@@ -40,6 +39,8 @@ SLACK = 1.0
 WORD_SLACK = 3.0
 BIN = 1e-4
 _FLUSH = 1 << 22
+#: A word is surveyed as frequent where it makes up this share of a task's words: at most ``1 / SHARE`` rows a task.
+SHARE = 2.0**-16
 
 
 # counting ---------------------------------------------------------------------------------------------------------------
@@ -51,39 +52,61 @@ def _grams(text: bytes) -> np.ndarray:
     return (a[:-2] << 16) | (a[1:-1] << 8) | a[2:]
 
 
-def count_grams(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n) over every whole text; tasks count their own rows first."""
+_GRAM, _WORD, _WORDS = 0, 1, 2
+
+
+def survey(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(kind, lang, code, n) over every whole text; tasks count their own rows first. Kinds: byte trigrams, contexts of words that make up
+    ``SHARE`` or more of a task's words, and the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[np.ndarray]] = defaultdict(list)
         held: Counter[str] = Counter()
         found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        contexts: list[np.ndarray] = []
+        kinds, total = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), 0
+
+        def merged(before: tuple[np.ndarray, np.ndarray] | None, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            keys, n = np.unique(np.concatenate(values), return_counts=True)
+            if before is None or not len(before[0]):
+                return keys, n
+            both, where = np.unique(np.concatenate([before[0], keys]), return_inverse=True)
+            return both, np.bincount(where, weights=np.concatenate([before[1], n])).astype(np.int64)
 
         def flush(key: str) -> None:
-            n = np.bincount(np.concatenate(waiting.pop(key)), minlength=1)
-            at = np.flatnonzero(n)
-            if key in found:
-                keys, counts = found[key]
-                keys, where = np.unique(np.concatenate([keys, at]), return_inverse=True)
-                found[key] = keys, np.bincount(where, weights=np.concatenate([counts, n[at]])).astype(np.int64)
-            else:
-                found[key] = at, n[at]
+            found[key] = merged(found.get(key), waiting.pop(key))
             held[key] = 0
 
         for batch in batches:
-            for key, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            langs = batch.column(0).to_pylist()
+            for key, raw in zip(langs, utf8(batch.column(1)), strict=True):
                 if raw:
                     waiting[key].append(_grams(raw))
                     held[key] += len(raw)
                     if held[key] > _FLUSH:
                         flush(key)
+            ids, rows, _ = word_model.words(*word_model.raw_texts(batch.column(1)), word_model.seeds_of(langs))
+            contexts.append(word_model.before(ids, rows))
+            total += len(ids)
+            if sum(map(len, contexts)) > _FLUSH:
+                kinds, contexts = merged(kinds, contexts), []
         for key in list(waiting):
             flush(key)
-        for key, (grams, counts) in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([key] * len(grams), pa.string()), pa.array(grams, pa.int32()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+        if contexts:
+            kinds = merged(kinds, contexts)
+        often = kinds[1] >= SHARE * total
+        rows = [(_GRAM, key, *x) for key, x in found.items()] + [(_WORD, "", kinds[0][often], kinds[1][often]), (_WORDS, "", np.zeros(1), np.array([total]))]
+        for kind, key, codes, counts in rows:
+            n = len(codes)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([key] * n, pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))], ["kind", "lang", "code", "n"])
 
     texts = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
-    return texts.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "kind int, lang string, code long, n long").groupBy("kind", "lang", "code").agg(F.sum("n").alias("n"))
+
+
+def count_grams(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, gram, n) of the byte trigrams of every whole text."""
+    return survey(df, text, lang).where(F.col("kind") == _GRAM).select("lang", F.col("code").cast("int").alias("gram"), "n")
 
 
 # the model --------------------------------------------------------------------------------------------------------------
@@ -177,68 +200,63 @@ def kneser_ney(grams: np.ndarray, n: np.ndarray) -> KneserNey:
     return KneserNey(hashes[order], logp[order].astype(np.float32), backoff[order].astype(np.float32))
 
 
+class Spelling:
+    """Log probabilities of byte trigrams by language, from their models, as a table with a row for each context of two bytes.
+
+    Workers get the models' arrays and make the table once: a row (1 KB) for each of a language's contexts, at most 256^2 of them.
+    """
+
+    def __init__(self, models: dict[str, KneserNey]):
+        self.langs = sorted(models)
+        self._models = models
+        self._table: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}
+
+    def codes(self, langs: list[str]) -> np.ndarray:
+        at = {x: i for i, x in enumerate(self.langs)}
+        return np.array([at.get(x, -1) for x in langs], dtype=np.int64)
+
+    def _built(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._table is None:
+            rows, tables, base = np.zeros((len(self.langs), 1 << 16), dtype=np.int32), [], 0
+            every = np.arange(256, dtype=np.int64)
+            for i, lang in enumerate(self.langs):
+                model = self._models[lang]
+                _, seen = model._find(2, np.arange(1 << 16, dtype=np.int64))
+                contexts = np.flatnonzero(seen)
+                # contexts that were never seen differ by their second byte alone
+                free = np.argmin(seen.reshape(256, 256), axis=0) << 8 | every
+                contexts = np.concatenate([free, contexts])
+                rows[i] = base + np.tile(every, 256)
+                rows[i][contexts[256:]] = base + 256 + np.arange(len(contexts) - 256)
+                for k in range(0, len(contexts), 1024):
+                    some = contexts[k : k + 1024]
+                    tables.append(model.log_probabilities((some[:, None] << 8 | every).ravel()).astype(np.float32))
+                base += len(contexts)
+            self._table = rows.ravel(), np.concatenate(tables) if tables else np.zeros(0, dtype=np.float32)
+        return self._table
+
+    def logs(self, grams: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
+        """Of trigrams, and the codes of their languages."""
+        rows, table = self._built()
+        return table[rows[(grams >> 8) + (lang << 16)].astype(np.int64) * 256 + (grams & 255)]
+
+
+def _surveyed(df: DataFrame, text: str, lang: str) -> tuple[dict[str, KneserNey], dict[int, int], int]:
+    """The spelling models, the counts of frequent contexts, and the number of words."""
+    counts = survey(df, text, lang).toArrow()
+    kind, langs = counts.column("kind").to_numpy(), np.array(counts.column("lang").to_pylist(), dtype=object)
+    codes, n = counts.column("code").to_numpy(), counts.column("n").to_numpy()
+    grams = kind == _GRAM
+    models = {key: kneser_ney(codes[at], n[at]) for key in dict.fromkeys(langs[grams].tolist()) for at in [np.flatnonzero(grams & (langs == key))]}
+    return models, dict(zip(codes[kind == _WORD].tolist(), n[kind == _WORD].tolist(), strict=True)), int(n[kind == _WORDS].sum())
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, KneserNey]:
-    """A model for each language, counted over all documents."""
-    counts = count_grams(df, text, lang).toArrow()
-    langs = np.array(counts.column("lang").to_pylist(), dtype=object)
-    grams, n = counts.column("gram").to_numpy(), counts.column("n").to_numpy()
-    return {key: kneser_ney(grams[langs == key], n[langs == key]) for key in dict.fromkeys(langs.tolist())}
-
-
-# words ------------------------------------------------------------------------------------------------------------------
-
-
-def word_grams(df: DataFrame, langs: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """(l, doc, a, b, c): each word c of each text after the two before it (0 before the text). l: place in ``langs``, doc: hash of the text."""
-    code = F.create_map(*(x for i, key in enumerate(langs) for x in (F.lit(key), F.lit(i))))
-    texts = df.select(code[F.coalesce(F.col(lang).cast("string"), F.lit(""))].alias("l"), F.xxhash64(text).alias("doc"), word_hashes(F.col(text)).alias("words"))
-    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
-    before = (F.coalesce(F.get("words", F.col("at") - back), F.lit(0)).alias(name) for back, name in ((2, "a"), (1, "b"), (0, "c")))
-    return texts.select("l", "doc", "words", F.explode(places).alias("at")).select("l", "doc", *before)
-
-
-def _context(counts: DataFrame, *by: str) -> DataFrame:
-    """Of each context and fold: the sum t of the counts n, and how many n are 1, 2, and 3 or more."""
-    sums = []
-    for f in (0, 1):
-        n = F.col(f"n{f}")
-        sums += [F.sum(n).alias(f"t{f}"), *(F.sum(is_k.cast("long")).alias(f"k{f}{k}") for k, is_k in ((1, n == 1), (2, n == 2), (3, n >= 3)))]
-    return counts.groupBy(*by).agg(*sums)
-
-
-def _word_discounts(counts: DataFrame, n_langs: int) -> tuple[Column, Column]:
-    """Discounts (0, d1, d2, d3) of one order by language, a column for each fold."""
-    n = [F.sum((F.col(f"n{f}") == k).cast("long")).alias(f"n{f}{k}") for f in (0, 1) for k in (1, 2, 3, 4)]
-    found = {r["l"]: r for r in counts.groupBy("l").agg(*n).collect()}
-    out = []
-    for f in (0, 1):
-        d = [_discounts_of(*(max(1, found[i][f"n{f}{k}"]) if i in found else 1 for k in (1, 2, 3, 4))) for i in range(n_langs)]
-        out.append(F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in d))[F.col("l")])
-    return out[0], out[1]
-
-
-def _probability(f: int, d: Column, lower: Column) -> Column:
-    """Interpolated, from the counts of one fold; a context that the fold has not leaves all to the lower order."""
-    n, t = F.col(f"n{f}"), F.col(f"t{f}")
-    left = sum(d[k] * F.col(f"k{f}{k}") for k in (1, 2, 3))
-    return F.when(t > 0, (n - d[F.least(n, F.lit(3)).cast("int")] + left * lower) / t).otherwise(lower)
-
-
-def word_scores(df: DataFrame, langs: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """(l, doc, word_score): mean negative log probability of the words of each text, by the other fold's counts."""
-    grams = word_grams(df, langs, text, lang)
-    fold = F.col("doc").bitwiseAND(F.lit(1))
-    n3 = materialize(grams.groupBy("l", "a", "b", "c").agg(*(F.sum((fold == f).cast("long")).alias(f"n{f}") for f in (0, 1))), "trigrams")
-    n2 = materialize(n3.groupBy("l", "b", "c").agg(*(F.sum((F.col(f"n{f}") > 0).cast("long")).alias(f"n{f}") for f in (0, 1))), "bigrams")
-    n1 = materialize(n2.groupBy("l", "c").agg(*(F.sum((F.col(f"n{f}") > 0).cast("long")).alias(f"n{f}") for f in (0, 1))), "words")
-    d1, d2, d3 = (_word_discounts(n, len(langs)) for n in (n1, n2, n3))
-    sizes = F.broadcast(_context(n1, "l").join(n1.groupBy("l").agg(F.count("*").alias("words")), "l"))  # a row for each language
-    p1 = n1.join(sizes, "l").select("l", "c", *(_probability(f, d1[f], 1 / (F.col("words") + 1)).alias(f"p{f}") for f in (0, 1)))
-    p2 = n2.join(_context(n2, "l", "b"), ["l", "b"]).join(p1, ["l", "c"]).select("l", "b", "c", *(_probability(f, d2[f], F.col(f"p{f}")).alias(f"p{f}") for f in (0, 1)))
-    p3 = n3.join(_context(n3, "l", "a", "b"), ["l", "a", "b"]).join(p2, ["l", "b", "c"])
-    logs = p3.select("l", "a", "b", "c", *(F.log(_probability(f, d3[f], F.col(f"p{f}"))).cast("float").alias(f"log{f}") for f in (0, 1)))
-    each = grams.join(logs, ["l", "a", "b", "c"]).select("l", "doc", F.when(fold == 0, F.col("log1")).otherwise(F.col("log0")).alias("log"))
-    return each.groupBy("l", "doc").agg(F.round(-F.avg("log"), 6).alias("word_score"))
+    """A spelling model for each language, counted over all documents."""
+    return _surveyed(df, text, lang)[0]
 
 
 # rules ------------------------------------------------------------------------------------------------------------------
@@ -264,25 +282,25 @@ def base_counts(text: bytes | None) -> tuple[int, int, int, int, int]:
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RESULT = (*COUNTS, "log_perplexity", "word_log_perplexity", "base_failed", "kept")
 
 
-def score(df: DataFrame, models: dict[str, KneserNey], text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
-    """``df`` with one more column, ``quality``: a struct of the base counts, n_bytes, score (null without text) and lang."""
+def score(df: DataFrame, spelling: Broadcast, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``df`` without ``text``, with one more column, ``quality``: a struct of the base counts, n_bytes, score (null without text) and lang."""
     out = free_name(df, "quality")
-    broadcast = df.sparkSession.sparkContext.broadcast(models)
     with_key = df.withColumn(key := free_name(df, "lang_key"), F.coalesce(F.col(lang).cast("string"), F.lit("")))
     at, at_key = df.columns.index(text), len(df.columns)
-    columns = [i for i in range(at_key) if keep_text or i != at]
+    columns = [i for i in range(at_key) if i != at]
     fields = [df.schema[i] for i in columns]
     kinds = pa.struct([*((c, pa.int64()) for c in COUNTS), ("n_bytes", pa.int64()), ("score", pa.float64()), ("lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = spelling.value
         for batch in batches:
             rows = []
-            for language, raw in zip(batch.column(at_key).to_pylist(), utf8(batch.column(at)), strict=True):
-                model, value = broadcast.value.get(language), None
-                if raw and model is not None:
-                    value = -float(model.log_probabilities(_grams(raw)).mean())
+            langs = batch.column(at_key).to_pylist()
+            for language, code, raw in zip(langs, model.codes(langs).tolist(), utf8(batch.column(at)), strict=True):
+                value = -float(model.logs(_grams(raw), code).mean(dtype=np.float64)) if raw and code >= 0 else None
                 rows.append((*base_counts(raw), len(raw or b""), value, language))
             struct = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], fields=list(kinds))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in columns), struct], [*(f.name for f in fields), out])
@@ -332,48 +350,48 @@ def verdict(scored: DataFrame, of_bytes: dict[str, tuple[float, float]], of_word
     return failed, ~failed & F.coalesce(spelled, F.lit(True)) & F.coalesce(ordered, F.lit(True))
 
 
-def _with_words(scored: DataFrame, words: DataFrame, langs: list[str], quality: str, doc: str, out: str) -> DataFrame:
-    """``scored`` with the word score of each row's text, whose hash is in the column ``doc``; this column goes."""
-    if not langs:
-        return scored.drop(doc).withColumn(out, F.lit(None).cast("double"))
-    names = F.array(*(F.lit(x) for x in langs))
-    right = words.select(names[F.col("l")].alias("_l"), F.col("doc").alias("_d"), F.col("word_score").alias("_s"))
-    joined = scored.join(right, (F.col(quality)["lang"] == F.col("_l")) & (F.col(doc) == F.col("_d")), "left")
-    return joined.select(*(scored[c] for c in scored.columns if c != doc), F.col("_s").alias(out))
-
-
-def _scores(df: DataFrame, models: dict[str, KneserNey], text: str, lang: str) -> tuple[list[str], DataFrame | None]:
-    langs = sorted(models)
-    return langs, materialize(word_scores(df, langs, text, lang), "word-scores") if langs else None
+def _judged(df: DataFrame, text: str, lang: str) -> tuple[DataFrame, Column, Column, Column, Column]:
+    """The rows of ``df`` without the text, with a column of counts and one of word scores (by columns); base_failed and kept."""
+    spark = df.sparkSession
+    models, frequent, n_words = _surveyed(df, text, lang)
+    spelling = spark.sparkContext.broadcast(Spelling(models))  # see Spelling for its bound
+    by_text = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("doc"))
+    words = materialize(word_model.word_scores(by_text, n_words, frequent, spelling, _discounts_of), "word-scores")
+    doc = free_name(df, "text_hash")
+    plain = score(df.withColumn(doc, F.xxhash64(text)), spelling, text, lang)
+    name, out = plain.columns[-1], free_name(plain, "word_score")
+    right = words.select(F.col("lang").alias("_l"), F.col("doc").alias("_d"), F.col("word_score").alias("_s"))
+    left = plain.alias("p")
+    at = [F.col(f"p.`{c}`") for c in plain.columns]
+    joined = left.join(right, (F.col(f"p.`{name}`")["lang"] == F.col("_l")) & (F.col(f"p.`{doc}`") == F.col("_d")), "left")
+    scored = materialize(joined.select(*at, F.col("_s").alias(out)), "quality")
+    q, w = F.col(name), F.col(out)
+    failed, kept = verdict(scored, bands(scored, q["lang"], q["n_bytes"], q["score"]), bands(scored, q["lang"], q["n_words"], w), name, out)
+    return scored, q, w, failed, kept
 
 
 def rules(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Counts, scores and verdict of every document: its columns without the text, the counts, log_perplexity (a byte), word_log_perplexity, base_failed, kept."""
-    models = fit(df, text, lang)
-    langs, words = _scores(df, models, text, lang)
-    doc = free_name(df, "text_hash")
-    scored = score(df.withColumn(doc, F.xxhash64(text)), models, text, lang, keep_text=False)
-    name, out = scored.columns[-1], free_name(scored, "word_score")
-    scored = materialize(_with_words(scored, words, langs, name, doc, out), "quality")
-    q = F.col(name)
-    failed, kept = verdict(scored, bands(scored, q["lang"], q["n_bytes"], q["score"]), bands(scored, q["lang"], q["n_words"], F.col(out)), name, out)
-    rest = [c for c in scored.columns[:-2] if c not in (*COUNTS, "log_perplexity", "word_log_perplexity", "base_failed", "kept")]
-    return scored.select(*rest, *(q[c].alias(c) for c in COUNTS), q["score"].alias("log_perplexity"), F.col(out).alias("word_log_perplexity"), failed.alias("base_failed"), kept.alias("kept"))
+    """Counts, scores and verdict of every document: its columns without the text, the counts, log_perplexity (a byte), word_log_perplexity,
+    base_failed, kept. A column of ``df`` with one of these names stays under a name with underscores before it."""
+    rest = [c for c in df.columns if c != text]
+    scored, q, w, failed, kept = _judged(df, text, lang)
+    new = dict(zip(RESULT, (*(q[c] for c in COUNTS), q["score"], w, failed, kept), strict=True))
+    taken, old = {*rest, *RESULT}, []
+    for c in rest:
+        name = c
+        if c in RESULT:
+            while name in taken:
+                name = f"_{name}"
+            taken.add(name)
+        old.append(F.col(f"`{c}`").alias(name))
+    return scored.select(*old, *(value.alias(c) for c, value in new.items()))
 
 
 def kept(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``df`` that the rules keep, columns unchanged; scored once for the bands and once with the texts."""
-    models = fit(df, text, lang)
-    langs, words = _scores(df, models, text, lang)
-    doc = free_name(df, "text_hash")
-    hashed = df.withColumn(doc, F.xxhash64(text))
-    plain = score(hashed.select(text, lang, doc), models, text, lang, keep_text=False)
-    out = free_name(df, "word_score")
-    plain_name = plain.columns[-1]
-    plain = materialize(_with_words(plain, words, langs, plain_name, doc, out), "quality")
-    q = F.col(plain_name)
-    of_bytes, of_words = bands(plain, q["lang"], q["n_bytes"], q["score"]), bands(plain, q["lang"], q["n_words"], F.col(out))
-    scored = score(hashed, models, text, lang)
-    name = scored.columns[-1]
-    scored = _with_words(scored, words, langs, name, doc, out)
-    return scored.where(verdict(scored, of_bytes, of_words, name, out)[1]).select(*df.columns)
+    """The rows of ``df`` that the rules keep, columns unchanged. The verdict is the same for rows of one text and language."""
+    few = df.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.xxhash64(text).alias("doc"))
+    scored, _, _, _, good = _judged(few, "text", "lang")
+    gone = scored.where(~good).select(F.col("lang").alias("_l"), F.col("doc").alias("_d")).distinct()
+    left = df.alias("p")
+    same = (F.coalesce(F.col(f"p.`{lang}`").cast("string"), F.lit("")) == F.col("_l")) & (F.xxhash64(F.col(f"p.`{text}`")) == F.col("_d"))
+    return left.join(gone, same, "left_anti").select(*(F.col(f"p.`{c}`") for c in df.columns))
