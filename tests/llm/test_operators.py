@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from thicket.llm import bpe, components, decontaminate, html_mincut, line_dedup, ordinal, quality_rules, sentence_spans, simhash, suffix_dedup, token_pack
+from thicket.llm import bpe, components, decontaminate, html_mincut, line_dedup, ordinal, quality_rules, sentence_spans, simhash, suffix_dedup, token_pack, word_model
 from thicket.llm.queries import PATTERN, VOCABULARY
 
 R = random.Random(5)
@@ -525,6 +526,61 @@ def test_html_tables(spark):
     assert html_mincut.extract(frame.limit(0)).count() == 0
 
 
+# words against the counts of plain dictionaries
+
+
+def test_word_scores_are_those_of_plain_counts(spark, monkeypatch):
+    r = random.Random(8)
+    vocabulary = [*VOCAB[:30], "é", "日本", "A1", "x"]
+    texts = [(i, " ".join(r.choice(vocabulary) + r.choice(["", ".", ",", "\n"]) for _ in range(r.randint(0, 90))), r.choice(["en", "de"])) for i in range(60)]
+    texts += [(100, "the " * 400, "en"), (101, "the " * 400, "en"), (102, None, "en"), (103, "", None), (104, "--- ***", "de"), (105, " ".join(r.choice(VOCAB) for _ in range(3000)), "en")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(word_model, "CHUNK_TOKENS", 500)
+    monkeypatch.setattr(word_model, "SEGMENT", 300)
+    models, frequent, n_words = quality_rules._surveyed(frame, "text", "lang")
+    spelling = spark.sparkContext.broadcast(quality_rules.Spelling(models))
+    docs = frame.select(F.coalesce("lang", F.lit("")).alias("lang"), "text", F.xxhash64("text").alias("doc"))
+    got = {(x["lang"], x["doc"]): x["word_score"] for x in word_model.word_scores(docs, n_words, frequent, spelling, quality_rules._discounts_of).collect()}
+
+    rows = [(x["lang"], x["text"] or "", x["doc"]) for x in docs.collect()]
+    tokens = [(lang, regex.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode()), doc) for lang, text, doc in rows]
+    tokens = [(lang, [w.lower() for w in words], doc) for lang, words, doc in tokens]
+    assert n_words == sum(len(w) for _, w, _ in tokens) and len(frequent) > 10
+    counts, scores = defaultdict(Counter), {}
+    for lang, words, doc in tokens:
+        counts[lang, doc & 1].update(zip([b"", *words], words, strict=False))
+    for lang, words, doc in tokens:
+        if not words:
+            continue
+        d = quality_rules._discounts_of(*(max(1, sum(n == k for f in (0, 1) for n in counts[lang, f].values())) for k in (1, 2, 3, 4)))
+        other, total = counts[lang, 1 - (doc & 1)], 0.0
+        context = defaultdict(list)
+        for (v, _), n in other.items():
+            context[v].append(n)
+        for v, w in zip([b"", *words], words, strict=False):
+            padded = b"  " + w + b" "
+            grams = np.array([padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2] for i in range(len(w) + 1)])
+            value = -float(models[lang].log_probabilities(grams).astype(np.float32).sum())
+            lower = np.exp(-word_model.STEP * np.clip(np.round(value / word_model.STEP), 0, 255))
+            n, all_n = other[v, w], context[v]
+            left = sum(d[min(k, 3)] for k in all_n)
+            total += np.log((n - d[min(n, 3)] + left * lower) / sum(all_n) if all_n else lower)
+        scores[lang, doc] = -total / len(words)
+    assert set(got) == set(scores)
+    assert all(abs(got[k] - scores[k]) < 0.02 for k in scores), [(got[k], scores[k]) for k in scores if abs(got[k] - scores[k]) >= 0.02]
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 300, 5000])
+def test_words_do_not_depend_on_segments(size, monkeypatch):
+    column = pa.array([None, "", "a b", "x" * size + " y", "é日" * size, "end", "Begin. " * size][::-1])
+    whole = word_model.words(*word_model.raw_texts(column), np.ones(7, dtype=np.uint64))
+    monkeypatch.setattr(word_model, "SEGMENT", 50)
+    cut = word_model.words(*word_model.raw_texts(column), np.ones(7, dtype=np.uint64))
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+    sliced = word_model.words(*word_model.raw_texts(column.slice(1, 4)), np.ones(4, dtype=np.uint64))
+    assert sliced[0].tolist() == [w for w, row in zip(*whole[:2], strict=True) if 1 <= row < 5]
+
+
 # word order
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,11 +50,18 @@ def _clean() -> None:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The shuffles behind ``df`` are not needed any more. Spark's cleaner deletes their files once the driver's collector has met
+    the plan, which a driver with a large heap may not do for hours; so it is asked to.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def tuned(spark: SparkSession) -> SparkSession:

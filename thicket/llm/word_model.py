@@ -337,7 +337,7 @@ def answer(table: pa.Table, wide: np.ndarray) -> pa.Table:
             pieces = [
                 pack(other[place].astype(np.uint32)),
                 pack(np.diff(np.append(np.flatnonzero(new), len(place))).astype(np.uint32)),
-                pack(others[mine].T.astype(np.uint64).ravel()),
+                pack(_residues(others[mine])),
                 pack((fold[mine][marks].astype(np.uint64) << np.uint64(32) | first_word[mine][marks].astype(np.uint64))),
                 pack(marks.astype(np.uint32)),
             ]
@@ -346,10 +346,21 @@ def answer(table: pa.Table, wide: np.ndarray) -> pa.Table:
     return pa.Table.from_pydict(out, schema=_ANSWER)
 
 
+def _residues(totals: np.ndarray) -> np.ndarray:
+    """Totals of contexts (sum, and how many counts are 1, 2, 3 or more), as what each leaves of the one before: mostly zeros."""
+    t, k1, k2, k3 = np.minimum(totals, (1 << 32) - 1).T  # those of wide contexts are not read
+    return np.concatenate([t, t - k1, np.maximum(t - k1 - 2 * k2, 0), k3]).astype(np.uint32)
+
+
+def _from_residues(packed: np.ndarray) -> np.ndarray:
+    t, rest, high, k3 = packed.reshape(4, -1).astype(np.int64)
+    return np.stack([t, t - rest, (rest - high) // 2, k3])
+
+
 def _read_reply(data: bytes) -> tuple[np.ndarray, ...]:
     sizes = np.frombuffer(data, dtype="<u4", count=5)
     ends = 20 + np.cumsum(sizes.astype(np.int64))
-    kinds = (np.uint32, np.uint32, np.uint64, np.uint64, np.uint32)
+    kinds = (np.uint32, np.uint32, np.uint32, np.uint64, np.uint32)
     return tuple(unpack(data[e - s : e], k) for s, e, k in zip(sizes.tolist(), ends.tolist(), kinds, strict=True))
 
 
@@ -381,7 +392,7 @@ def log_probabilities(replies: list[bytes], spelled: np.ndarray, discounts: np.n
     out, at = [], 0
     for reply in replies:
         n, sizes, numbers, marked, marks = _read_reply(reply)
-        numbers = numbers.reshape(4, -1).astype(np.float64)
+        numbers = _from_residues(numbers).astype(np.float64)
         if len(marks):
             fold, word = (marked >> np.uint64(32)).astype(np.int64), marked.astype(np.uint32)
             found = totals.reshape(-1, 2, 4)[np.searchsorted(wide, word), 1 - fold]  # of the other fold
