@@ -398,6 +398,27 @@ def test_suffix_dedup_of_overlaps_and_periods(spark):
     assert got == bytes_brute(rows)
 
 
+@pytest.mark.parametrize("flush", [3, 40, 1 << 19])
+def test_suffix_dedup_of_rows_that_share_ids_and_of_a_hot_passage(spark, monkeypatch, flush):
+    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    passage = " ".join(sentence() for _ in range(9))
+    rows = [(5, f"{sentence()} {passage[: R.randint(60, 400)]}{sentence(R.randint(1, 60))}") for _ in range(300)]  # some equal in any 8 bits of a hash
+    rows += [(1, passage), (1, passage), (2, f"{passage} {passage}"), (7, sentence(3))] + [(R.randint(10, 40), f"{sentence()} {passage}") for _ in range(60)]
+    rows += [(100, "zero\0" * 30), (101, "zero\0" * 25 + "\0\0")]
+    R.shuffle(rows)
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=str) == bytes_brute(rows)
+
+
+def test_windows_are_found_by_binary_search():
+    rows = np.unique(np.array([[R.randrange(4) for _ in range(suffix_dedup._KEY_WORDS)] for _ in range(300)], dtype=np.uint64), axis=0)
+    wanted = np.concatenate([rows[::3], np.array([[R.randrange(5) for _ in range(suffix_dedup._KEY_WORDS)] for _ in range(300)], dtype=np.uint64)])
+    at, found = suffix_dedup._search(rows, wanted)
+    plain = [tuple(x) for x in rows.tolist()]
+    for w, i, f in zip(wanted.tolist(), at.tolist(), found.tolist()):
+        assert i == sum(x < tuple(w) for x in plain) and f == (tuple(w) in plain)
+
+
 def test_suffix_arrays():
     for text in (b"", b"a", b"banana" * 9, bytes(R.choice(b"ab") for _ in range(300))):
         a = np.frombuffer(text, dtype=np.uint8)
@@ -506,6 +527,41 @@ def test_main_text_without_semantic_elements():
     assert "Home" not in text and "Imprint" not in text and text.count(".") == 4
 
 
+@pytest.mark.parametrize("page", ["<p" * 500_000, "<script " * 100_000, '<a "' * 250_000, "<" * 300_000, "</" * 300_000, "<!--" * 200_000, "<div>x" * 100_000, "<b>" * 50_000 + "</i>" * 50_000, '<a x="' + '<b y=">"' * 50_000])
+def test_long_broken_pages_take_seconds(page):
+    import time
+
+    began = time.perf_counter()
+    html_mincut.main_text(page)
+    assert time.perf_counter() - began < 30
+
+
+def test_neighbours_decide_where_names_say_nothing():
+    menu = "".join(f"<div><a href=/{w}>{w}</a></div>" for w in WORDS[:8])
+    story = [sentence(25), sentence(30), "Silence", sentence(2), sentence(28), sentence(40)]
+    page = f"<body><div class=x1>{menu}</div><div class=x2><div>Only today</div></div><div class=x3>{''.join(f'<div>{x}</div>' for x in story)}</div><div class=x4><div><a href=i>Imprint</a></div><div>2020</div></div></body>"
+    found = html_mincut.blocks(page)
+    odds = [html_mincut.log_odds(b) for b in found]
+    labels = html_mincut.min_cut(odds, html_mincut.smoothness(found))
+    assert html_mincut.main_text(page) == " ".join(story)
+    assert any((o > 0) != x for o, x in zip(odds, labels))  # the cut went against a block's own odds
+
+
+def test_labels_of_small_pages_are_of_least_cost():
+    from itertools import product
+
+    kinds = ["<p>{}</p>", "<div class=a>{}</div>", "<li><a href=x>{}</a></li>", "<h2>{}</h2>", "<div class=ad>{}</div>", "<aside>{}</aside>", "{}<br>"]
+    for _ in range(60):
+        page = "".join(R.choice(["<div>", "</div>", "<article>", "</article>", "", ""]) + R.choice(kinds).format(sentence(R.choice([1, 2, 8, 30]))) for _ in range(R.randint(1, 9)))
+        found = html_mincut.blocks(page)
+        odds, edges = [html_mincut.log_odds(b) for b in found], html_mincut.smoothness(found)
+        cost = lambda labels: sum(abs(o) for o, x in zip(odds, labels) if (o > 0) != x) + sum(w for (i, j), w in edges.items() if labels[i] != labels[j])
+        best = min(product([False, True], repeat=len(found)), key=cost)
+        labels = html_mincut.min_cut(odds, edges)
+        assert abs(cost(labels) - cost(best)) < 1e-9
+        assert html_mincut.main_text(page) == " ".join(b.text for b, x in zip(found, labels) if x)
+
+
 def test_cut_is_minimal():
     from itertools import product
 

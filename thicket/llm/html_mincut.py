@@ -60,10 +60,10 @@ _NO_ARTICLE = regex.compile("comment|related|promo|ad")
 _INSIDE_NAMES = regex.compile(r"(?:^|[-_ ])(?:article\w*|main|content|post|entry|story|articlebody|prose)(?:$|[-_ ])", regex.I)
 
 #: The classifier's weights, in log odds. Explicit marks outweigh the text; where a page has none, its text and its neighbours decide.
-W_INSIDE, W_OUTSIDE, W_HEADER, W_LINKS, W_WORDS, W_SENTENCE, W_HOME, W_BIAS = 2.5, -8.0, -3.0, -4.0, 1.5, 0.8, 2.0, -1.8
+W_INSIDE, W_OUTSIDE, W_HEADER, W_LINKS, W_WORDS, W_SENTENCE, W_HOME, W_BIAS = 3.5, -8.0, -3.0, -4.0, 1.5, 0.8, 1.5, -2.6
 #: A parent with this share of the words of the richest parent of the page counts as full.
 HOME = 0.3
-#: Smoothness of neighbours with the same parent; divided by their distance in the tree otherwise. Between marked and unmarked blocks it is weaker.
+#: Smoothness of neighbours with the same parent; divided by the square of their distance in the tree otherwise. Between marked and unmarked blocks it is weaker.
 SMOOTH, SIBLING, ACROSS = 1.5, 0.75, 0.25
 #: Elements nested deeper stand beside one another, as in browsers.
 DEPTH = 512
@@ -305,7 +305,7 @@ def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:
         return 1.0 if (a.outside, a.header) == (b.outside, b.header) else ACROSS
 
     for i, (a, b) in enumerate(pairwise(found)):
-        edges[i, i + 1] = across(i, i + 1) * SMOOTH / max(1, _distance(a.up.block, b.up.block) - 1)
+        edges[i, i + 1] = across(i, i + 1) * SMOOTH / max(1, _distance(a.up.block, b.up.block) - 1) ** 2
     for i, b in enumerate(found):
         parent = id(_parent(b))
         if parent in last:

@@ -5,11 +5,12 @@ dealt by content: a window of ``LENGTH`` bytes belongs to the least hash among i
 equal anchors, wherever they stand. The windows of a document that follow one another with the same anchor are one run (about
 18), and only a run's anchor and a hash of all its bytes are dealt out, by anchor, in packed blocks.
 
-Where all runs meet that have an anchor in common, a run whose bytes a smaller document has too is a copy as a whole. The rest,
-anchors with different runs (edges of copied passages), is settled exactly by suffix arrays: the runs' bytes form shards of ``SHARD`` bytes, each
-gets a suffix array by Larsson-Sadakane refinement in numpy (prefix doubling, in which only groups that are not settled are
-refined) and longest common prefixes as Kasai's (computed for all neighbours at once from the doubled ranks). Shards of one partition
-are merged by binary search of the windows of one in the sorted windows of another.
+A run whose bytes a smaller document among the same task's texts has is a copy as a whole and goes no further, so of what very many documents
+share only a run a task and ``FLUSH`` runs meets the others. Where all these meet that have an anchor in common, a run whose bytes a smaller
+document has too is a copy. The rest, anchors with different runs (edges of copied passages), is settled exactly by suffix arrays: the runs' bytes
+form shards of ``SHARD`` bytes, each gets a suffix array by Larsson-Sadakane refinement in numpy (prefix doubling, in which only groups that
+are not settled are refined) and longest common prefixes as Kasai's (computed for all neighbours at once from the doubled ranks). Shards
+are merged by binary search of the windows of each in the sorted windows of those before it.
 
 Nulls: a null text is empty. Rows without a doc_id keep all their bytes and count for nothing. Rows that share a doc_id are one
 document: neither is smaller than the other, and if their texts differ each loses its own copies.
@@ -17,12 +18,11 @@ document: neither is smaller than the other, and if their texts differ each lose
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from thicket.llm.common import free_name, materialize, utf8
 
@@ -37,9 +37,10 @@ SHARD = 8 << 20
 _RNG = np.random.default_rng(50)
 _BYTE = _RNG.integers(0, 1 << 64, size=256, dtype=np.uint64)
 _BASE = int(_RNG.integers(0, 1 << 63, dtype=np.uint64)) * 2 + 1
-#: a: 40 bits of the anchor's hash and 12 each of what is left and right of it; c: hash of all bytes of the run; at, from the top: 8 bits
-#: of a hash of the text (tag), 9 more of left and right, first window (31), number of windows (6).
-_ROW = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("at", "<i8")])
+#: a: 40 bits of the anchor's hash and 12 each of what is left and right of it; c: hash of all bytes of the run; key: hash of the whole text;
+#: at, from the top: 9 more bits of left and right, first window (31), number of windows (6).
+_ROW = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<i8")])
+_DONE = ("doc", "key", "at")
 _WINDOWS = (1 << 37) - 1
 
 
@@ -53,7 +54,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def runs(text: bytes) -> np.ndarray:
-    """The rows of a text's runs, without document and tag."""
+    """The rows of a text's runs, without document and key."""
     out = [_runs(text[i : i + SEGMENT + LENGTH - 1], i) for i in range(0, max(1, len(text) - LENGTH + 1), SEGMENT)] if len(text) >= LENGTH else []
     return np.concatenate(out) if out else np.zeros(0, dtype=_ROW)
 
@@ -97,10 +98,17 @@ def _short(h: np.ndarray) -> np.ndarray:
 
 
 def _dealt(df: DataFrame, partitions: int) -> DataFrame:
-    """(part, block): rows of all runs, packed by the part that their anchor belongs to."""
+    """(part, done, block): rows of runs, packed by the part that their anchor belongs to; done: of runs that are copies for sure."""
 
     def blocks(rows: list[np.ndarray]) -> pa.RecordBatch:
         table = np.concatenate(rows)
+        order = np.argsort(table["c"], kind="stable")
+        c, anchor, doc = table["c"][order], table["a"][order] >> np.uint64(24), table["doc"][order]
+        first = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (anchor[1:] != anchor[:-1])))
+        least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
+        copies = np.zeros(len(table), dtype=bool)
+        copies[order[doc > least]] = True
+        done, table = table[copies], table[~copies]
         part = ((table["a"] >> np.uint64(24)) % np.uint64(partitions)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         table, part = table[order], part[order]
@@ -108,17 +116,21 @@ def _dealt(df: DataFrame, partitions: int) -> DataFrame:
         pieces = np.split(table, cut[1:])
         # by column: equal high bytes then lie together, which the shuffle's compression uses
         packed = [b"".join(p[c].tobytes() for c in _ROW.names) for p in pieces]
-        return pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int32()), pa.array(packed, pa.binary())], ["part", "block"])
+        parts = part[cut].tolist()
+        if len(done):
+            parts.append(int(done["key"][0]) % partitions)
+            packed.append(b"".join(done[c].tobytes() for c in _DONE))
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([False] * len(pieces) + [True] * bool(len(done))), pa.array(packed, pa.binary())], ["part", "done", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
         for batch in batches:
-            for doc, raw, tag in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for doc, raw, key in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 if doc is None or raw is None or len(raw) < LENGTH:
                     continue
                 table = runs(raw)
                 table["doc"] = doc
-                table["at"] |= np.int64(tag) << np.int64(55)
+                table["key"] = key
                 waiting.append(table)
                 held += len(table)
                 if held > FLUSH:
@@ -127,23 +139,38 @@ def _dealt(df: DataFrame, partitions: int) -> DataFrame:
         if held:
             yield blocks(waiting)
 
-    return df.mapInArrow(run, "part int, block binary")
+    return df.mapInArrow(run, "part int, done boolean, block binary")
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    n = len(data) // _ROW.itemsize
-    table = np.empty(n, dtype=_ROW)
-    for i, c in enumerate(_ROW.names):
+def _unpacked(data: bytes, names: tuple[str, ...] = _ROW.names) -> np.ndarray:
+    n = len(data) // (8 * len(names))
+    table = np.zeros(n, dtype=_ROW)
+    for i, c in enumerate(names):
         table[c] = np.frombuffer(data, dtype=_ROW[c], count=n, offset=8 * n * i)
     return table
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, at, a, whole) of runs that are copies, and of those that a suffix array must settle."""
-    tables = [_unpacked(x.as_buffer()) for batch in batches for x in batch.column(1)]
+    """(doc, key, at, a, whole) of runs that are copies, and of those that a suffix array must settle."""
+
+    def out(table: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(table), 1 << 16):
+            few = table[i : i + (1 << 16)]
+            anchor = (few["a"] >> np.uint64(24)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(few[c].copy()) for c in _DONE), pa.array(anchor), pa.array(whole[i : i + (1 << 16)])], [*_DONE, "a", "whole"])
+
+    tables = []
+    for batch in batches:
+        for done, block in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if done:
+                copies = _unpacked(block.as_buffer(), _DONE)
+                yield from out(copies, np.ones(len(copies), dtype=bool))
+            else:
+                tables.append(_unpacked(block.as_buffer()))
     if not tables:
         return
     table = np.concatenate(tables)
+    tables.clear()
     anchor = table["a"] >> np.uint64(24)
     order = np.lexsort((table["doc"], table["c"], anchor))
     table, anchor = table[order], anchor[order]
@@ -168,9 +195,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differ = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
         some[rest[have[np.repeat(differ, np.diff(np.append(first, len(have))))]]] = True
     take = np.flatnonzero(whole | some)
-    for i in range(0, len(take), 1 << 16):
-        few = take[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[few]), pa.array(table["at"][few]), pa.array(anchor[few].view(np.int64)), pa.array(whole[few])], ["doc", "at", "a", "whole"])
+    yield from out(table[take], whole[take])
 
 
 # suffix arrays ----------------------------------------------------------------------------------------------------------
@@ -243,19 +268,43 @@ class _Shard:
         self.least = np.minimum.reduceat(docs[self.piece], self.first) if len(self.first) else np.zeros(0, dtype=np.int64)
 
     def keys(self) -> np.ndarray:
-        """The bytes of each distinct window, in order."""
+        """The bytes of each distinct window, in order: a row of big-endian words, the last filled up with zeros."""
         at = self.window[self.first]
-        return np.ascontiguousarray(self.text[at[:, None] + np.arange(LENGTH)]).view(f"V{LENGTH}").ravel()
-
-    def merge(self, other: _Shard) -> None:
-        """Let each distinct window know the least document of both shards, by binary search of one's windows in the other's."""
-        if not len(self.first) or not len(other.first):
-            return
-        mine, theirs = ([x.tobytes() for x in s.keys()] for s in (self, other))
-        for i, key in enumerate(mine):
-            j = bisect_left(theirs, key)
-            if j < len(theirs) and theirs[j] == key:
-                self.least[i] = other.least[j] = min(self.least[i], other.least[j])
+        out = np.zeros((len(at), 8 * _KEY_WORDS), dtype=np.uint8)
+        out[:, :LENGTH] = self.text[at[:, None] + np.arange(LENGTH)]
+        return out.view(">u8").astype(np.uint64)
+
+
+_KEY_WORDS = -(-LENGTH // 8)
+
+
+def _search(rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of all ``wanted`` at once in sorted ``rows``: where each belongs, and whether it is there."""
+    lo, hi = np.zeros(len(wanted), dtype=np.int64), np.full(len(wanted), len(rows), dtype=np.int64)
+    for _ in range(len(rows).bit_length()):
+        mid = np.minimum((lo + hi) // 2, len(rows) - 1)
+        differ = rows[mid] != wanted
+        column = differ.argmax(axis=1)
+        at = np.arange(len(wanted))
+        less = (lo < hi) & (rows[mid, column] < wanted[at, column])
+        lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
+    found = np.zeros(len(wanted), dtype=bool)
+    inside = np.flatnonzero(lo < len(rows))
+    found[inside] = (rows[lo[inside]] == wanted[inside]).all(axis=1)
+    return lo, found
+
+
+def merge(shards: list[_Shard]) -> None:
+    """Let each distinct window know the least document of all shards."""
+    rows, least = np.zeros((0, _KEY_WORDS), dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    keys = [s.keys() for s in shards]
+    for shard, mine in zip(shards, keys, strict=True):
+        at, found = _search(rows, mine) if len(rows) else (np.zeros(len(mine), dtype=np.int64), np.zeros(len(mine), dtype=bool))
+        least[at[found]] = np.minimum(least[at[found]], shard.least[found])
+        rows, least = np.insert(rows, at[~found], mine[~found], axis=0), np.insert(least, at[~found], shard.least[~found])
+    for shard, mine in zip(shards, keys, strict=True):
+        if len(mine):
+            shard.least = least[_search(rows, mine)[0]]
 
 
 def settle(pieces: list[bytes], docs: np.ndarray, shard_bytes: int = SHARD) -> list[tuple[int, int]]:
@@ -269,9 +318,8 @@ def settle(pieces: list[bytes], docs: np.ndarray, shard_bytes: int = SHARD) -> l
         shards.append(_Shard(pieces[i:j], docs[i:j]))
         parts.append(i)
         i = j
-    for x in range(len(shards)):
-        for y in range(x):
-            shards[x].merge(shards[y])
+    if len(shards) > 1:
+        merge(shards)
     out = []
     for shard, base in zip(shards, parts, strict=True):
         gone = np.flatnonzero(docs[base + shard.piece] > shard.least[shard.group])
@@ -282,44 +330,39 @@ def settle(pieces: list[bytes], docs: np.ndarray, shard_bytes: int = SHARD) -> l
 # the operator -----------------------------------------------------------------------------------------------------------
 
 
-def _tag(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit(255))
-
-
 def copied(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, tag, at): runs of windows (first << 6 | number) of each document whose bytes a smaller document has."""
+    """(doc, key, at): runs of windows (first << 6 | number) of each document whose bytes a smaller document has."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), _tag(F.col(text)).cast("int").alias("tag"))
+    docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
     dealt = _dealt(docs, n).repartitionById(n, F.col("part"))
-    met = materialize(dealt.mapInArrow(_met, "doc long, at long, a long, whole boolean"), "met")
+    met = materialize(dealt.mapInArrow(_met, "doc long, key long, at long, a long, whole boolean"), "met")
     windows = F.col("at").bitwiseAND(F.lit(_WINDOWS))
-    tag = F.shiftright("at", 55).cast("int")
-    open_runs = met.where("not whole").groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("a", windows.alias("at"))).alias("runs"))
-    wanted = docs.join(open_runs, ["doc", "tag"])
+    open_runs = met.where("not whole").groupBy("doc", "key").agg(F.collect_list(F.struct("a", windows.alias("at"))).alias("runs"))
+    wanted = docs.join(open_runs, ["doc", "key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, tag_, raw, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3), strict=True):
+            for doc, key, raw, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3), strict=True):
                 flat = some.values
                 a, at = flat.field(0).to_numpy(), flat.field(1).to_numpy()
                 first, count = (at >> 6).tolist(), (at & 63).tolist()
                 pieces = [raw[f : f + c + LENGTH - 1] for f, c in zip(first, count, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array([doc] * len(a), pa.int64()), pa.array([tag_] * len(a), pa.int32()), pa.array(first, pa.int64()), pa.array(pieces, pa.binary())], ["a", "doc", "tag", "first", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array([doc] * len(a), pa.int64()), pa.array([key] * len(a), pa.int64()), pa.array(first, pa.int64()), pa.array(pieces, pa.binary())], ["a", "doc", "key", "first", "piece"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
         if table is None:
             return
-        doc, tag_, first = (table.column(c).to_numpy() for c in ("doc", "tag", "first"))
+        doc, key, first = (table.column(c).to_numpy() for c in ("doc", "key", "first"))
         gone = settle(table.column("piece").to_pylist(), doc)
         if gone:
             piece, window = np.array(gone, dtype=np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(doc[piece]), pa.array(tag_[piece], pa.int32()), pa.array((first[piece] + window) << 6 | 1)], ["doc", "tag", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[piece]), pa.array(key[piece]), pa.array((first[piece] + window) << 6 | 1)], ["doc", "key", "at"])
 
-    pieces = wanted.select("doc", "tag", "text", "runs").mapInArrow(cut, "a long, doc long, tag int, first long, piece binary")
-    late = pieces.repartition(n, "a").mapInArrow(sort, "doc long, tag int, at long")
-    return met.where("whole").select("doc", tag.alias("tag"), windows.alias("at")).union(late)
+    pieces = wanted.select("doc", "key", "text", "runs").mapInArrow(cut, "a long, doc long, key long, first long, piece binary")
+    late = pieces.repartition(n, "a").mapInArrow(sort, "doc long, key long, at long")
+    return met.where("whole").select("doc", "key", windows.alias("at")).union(late)
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str = "kept") -> DataFrame:
@@ -327,8 +370,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str =
     rest = [c for c in df.columns if c != text]
     base = df.select(*rest)
     names = [free_name(base, c) for c in ("n_bytes", "n_removed", "n_spans", out)]
-    doc, tag, at = (free_name(df, x) for x in ("doc_of_runs", "tag_of_runs", "runs"))
-    gone = copied(df, doc_id, text).groupBy(F.col("doc").alias(doc), F.col("tag").alias(tag)).agg(F.collect_list("at").alias(at))
+    doc, key, at = (free_name(df, x) for x in ("doc_of_runs", "key_of_runs", "runs"))
+    gone = copied(df, doc_id, text).groupBy(F.col("doc").alias(doc), F.col("key").alias(key)).agg(F.collect_list("at").alias(at))
     width = len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +395,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str =
                 kept.append(np.frombuffer(raw, dtype=np.uint8)[~cut].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())], [*rest, *names])
 
-    same = (F.col(doc_id).cast("long") == F.col(doc)) & (_tag(F.col(text)).cast("int") == F.col(tag))
+    same = (F.col(doc_id).cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(key))
     joined = df.join(gone, same, "left").select(*(df[c] for c in rest), df[text], at)
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.BinaryType()]
     return joined.mapInArrow(run, T.StructType([*base.schema, *(T.StructField(c, k) for c, k in zip(names, kinds, strict=True))]))
