@@ -25,7 +25,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, types as T
 
-from thicket.llm.common import free_name, list_array
+from thicket.llm.common import free_name, lean, list_array
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 512
@@ -159,7 +159,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
             ids = [bpe.encode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, list_array(ids, pa.int32())], [*batch.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -173,4 +173,4 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
             texts = [bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(out, T.BinaryType())]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema, T.StructField(out, T.BinaryType())]))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from thicket.llm.common import free_name
+from thicket.llm.common import free_name, lean
 
 _TAG = regex.compile(r"<(/?)([a-z][^\s/>]*)", regex.I)
 _TAG_PART = regex.compile(r"[^>\"']*")
@@ -403,4 +403,4 @@ def extract(df: DataFrame, html: str = "html", keep_html: bool = False) -> DataF
             texts = [main_text(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in columns), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names)
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(text, T.StringType()), T.StructField(n_chars, T.LongType())]))
+    return df.mapInArrow(lean(run), T.StructType([*fields, T.StructField(text, T.StringType()), T.StructField(n_chars, T.LongType())]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from thicket.llm.common import ASCII_WS, free_name, materialize, utf8
+from thicket.llm.common import ASCII_WS, free_name, lean, materialize, utf8
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -57,7 +57,7 @@ def line_rows(df: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFram
                 ["h", "h2", "doc", "row_key", "pos"],
             )
 
-    return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, _ROWS)
+    return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lean(run), _ROWS)
 
 
 def _groups(*columns: np.ndarray) -> np.ndarray:
@@ -89,7 +89,7 @@ def decide(rows: DataFrame, partitions: int, min_docs: int) -> DataFrame:
         yield from out.select(["doc", "row_key", "pos", "h", "h2", "open"]).to_batches(max_chunksize=1 << 16)
 
     ordered = rows.repartitionByRange(partitions, "h", "h2", "doc", "pos").sortWithinPartitions("h", "h2", "doc", "pos")
-    return ordered.mapInArrow(run, "doc long, row_key long, pos int, h long, h2 int, open boolean")
+    return ordered.mapInArrow(lean(run), "doc long, row_key long, pos int, h long, h2 int, open boolean")
 
 
 def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -118,7 +118,7 @@ def keep_bitmaps(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], ["doc", "row_key", "bitmap"])
 
     by_doc = dropped_lines(df, doc_id, text, min_chars, min_docs).groupBy("doc", "row_key").agg(F.collect_set("pos").alias("at"))
-    return by_doc.mapInArrow(pack, "doc long, row_key long, bitmap binary")
+    return by_doc.mapInArrow(lean(pack), "doc long, row_key long, bitmap binary")
 
 
 def unpack(bitmap: bytes | None, n_lines: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def apply(df: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str =
 
     same = (F.col(doc_id).cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(key))
     joined = df.join(maps, same, "left").select(*(df[c] for c in df.columns), bitmap)
-    return joined.mapInArrow(run, T.StructType([*df.schema, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())]))
+    return joined.mapInArrow(lean(run), T.StructType([*df.schema, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())]))
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from thicket.llm.common import free_name, list_array, utf8
+from thicket.llm.common import free_name, lean, list_array, utf8
 
 BITS = 18
 MAX_LABELLED = 20_000
@@ -137,7 +137,7 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array([features(x) for x in utf8(batch.column(2))], pa.int32())], ["doc_id", "grade", "features"])
 
-    found = met.mapInArrow(run, "doc_id long, grade int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    found = met.mapInArrow(lean(run), "doc_id long, grade int, features array<int>").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
     return [x.values.to_numpy() for x in found.column("features")], found.column("grade").to_numpy().astype(np.int64)
 
 
@@ -159,4 +159,4 @@ def grades(df: DataFrame, model: OrdinalModel, text: str = "text", keep_text: bo
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in columns), pa.array((GRADES - 1) - below.sum(axis=1)), pa.array(tail), pa.array(tail >= KEEP)], names)
 
     kinds = [T.DoubleType(), T.DoubleType(), T.BooleanType()]
-    return df.mapInArrow(run, T.StructType([*fields, *(T.StructField(c, k) for c, k in zip(out, kinds, strict=True))]))
+    return df.mapInArrow(lean(run), T.StructType([*fields, *(T.StructField(c, k) for c, k in zip(out, kinds, strict=True))]))

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from thicket.llm import word_model
-from thicket.llm.common import ASCII_WS, free_name, materialize, utf8
+from thicket.llm.common import ASCII_WS, free_name, lean, materialize, utf8
 
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
@@ -101,7 +101,7 @@ def survey(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([key] * n, pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))], ["kind", "lang", "code", "n"])
 
     texts = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
-    return texts.mapInArrow(run, "kind int, lang string, code long, n long").groupBy("kind", "lang", "code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(run), "kind int, lang string, code long, n long").groupBy("kind", "lang", "code").agg(F.sum("n").alias("n"))
 
 
 def count_grams(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -306,7 +306,7 @@ def score(df: DataFrame, spelling: Broadcast, text: str = "text", lang: str = "l
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in columns), struct], [*(f.name for f in fields), out])
 
     struct = T.StructType([*(T.StructField(c, T.LongType()) for c in (*COUNTS, "n_bytes")), T.StructField("score", T.DoubleType()), T.StructField("lang", T.StringType())])
-    return with_key.mapInArrow(run, T.StructType([*fields, T.StructField(out, struct)]))
+    return with_key.mapInArrow(lean(run), T.StructType([*fields, T.StructField(out, struct)]))
 
 
 def bands(scored: DataFrame, lang: Column, size: Column, score: Column) -> dict[str, tuple[float, float]]:

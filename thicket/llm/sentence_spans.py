@@ -24,7 +24,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from thicket.llm.common import free_name, materialize, utf8
+from thicket.llm.common import free_name, lean, materialize, utf8
 
 SPAN = 3
 LONG_WORDS = 12
@@ -76,7 +76,7 @@ def run_rows(df: DataFrame, doc_id: str, text: str, span: int, long_words: int)
                 ["h", "h2", "doc", "row_key", "pos", "n"],
             )
 
-    return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, "h long, h2 int, doc long, row_key long, pos int, n int")
+    return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(lean(run), "h long, h2 int, doc long, row_key long, pos int, n int")
 
 
 def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, long_words: int = LONG_WORDS) -> DataFrame:
@@ -111,4 +111,4 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int =
 
     same = (F.col(doc_id).cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(key))
     joined = df.join(gone, same, "left").select(*(df[c] for c in df.columns), covered)
-    return joined.mapInArrow(run, T.StructType([*df.schema, T.StructField(total, T.LongType()), T.StructField(removed, T.LongType())]))
+    return joined.mapInArrow(lean(run), T.StructType([*df.schema, T.StructField(total, T.LongType()), T.StructField(removed, T.LongType())]))

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from thicket.llm.common import free_name, materialize, utf8
+from thicket.llm.common import free_name, lean, materialize, utf8
 from thicket.llm.components import components
 
 SHINGLE = 4
@@ -72,7 +72,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", keep_text:
             codes = np.array([fingerprint(x) for x in utf8(batch.column(at))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in columns), pa.array(codes, pa.int64())], names)
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.LongType())]))
+    return df.mapInArrow(lean(run), T.StructType([*fields, T.StructField(out, T.LongType())]))
 
 
 # pivot tables -----------------------------------------------------------------------------------------------------------
@@ -153,7 +153,7 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     dealt = left.select("k", "v", "fp", "id", near.alias("near"), F.explode(pairs).alias("pair")).select("k", "v", "pair.i", "pair.j", "near", "fp", "id")
     group = ["k", "v", "i", "j"]
-    rest = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda batches: _compare(batches, max_bits), "a long, b long")
+    rest = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(lean(lambda batches: _compare(batches, max_bits)), "a long, b long")
     return stars.union(rest)
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from thicket.llm.common import free_name, materialize, utf8
+from thicket.llm.common import free_name, lean, materialize, utf8
 
 LENGTH = 50
 K = 16
@@ -139,7 +139,7 @@ def _dealt(df: DataFrame, partitions: int) -> DataFrame:
         if held:
             yield blocks(waiting)
 
-    return df.mapInArrow(run, "part int, done boolean, block binary")
+    return df.mapInArrow(lean(run), "part int, done boolean, block binary")
 
 
 def _unpacked(data: bytes, names: tuple[str, ...] = _ROW.names) -> np.ndarray:
@@ -336,7 +336,7 @@ def copied(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
     dealt = _dealt(docs, n).repartitionById(n, F.col("part"))
-    met = materialize(dealt.mapInArrow(_met, "doc long, key long, at long, a long, whole boolean"), "met")
+    met = materialize(dealt.mapInArrow(lean(_met), "doc long, key long, at long, a long, whole boolean"), "met")
     windows = F.col("at").bitwiseAND(F.lit(_WINDOWS))
     open_runs = met.where("not whole").groupBy("doc", "key").agg(F.collect_list(F.struct("a", windows.alias("at"))).alias("runs"))
     wanted = docs.join(open_runs, ["doc", "key"])
@@ -360,8 +360,8 @@ def copied(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             piece, window = np.array(gone, dtype=np.int64).T
             yield pa.RecordBatch.from_arrays([pa.array(doc[piece]), pa.array(key[piece]), pa.array((first[piece] + window) << 6 | 1)], ["doc", "key", "at"])
 
-    pieces = wanted.select("doc", "key", "text", "runs").mapInArrow(cut, "a long, doc long, key long, first long, piece binary")
-    late = pieces.repartition(n, "a").mapInArrow(sort, "doc long, key long, at long")
+    pieces = wanted.select("doc", "key", "text", "runs").mapInArrow(lean(cut), "a long, doc long, key long, first long, piece binary")
+    late = pieces.repartition(n, "a").mapInArrow(lean(sort), "doc long, key long, at long")
     return met.where("whole").select("doc", "key", windows.alias("at")).union(late)
 
 
@@ -398,4 +398,4 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", out: str =
     same = (F.col(doc_id).cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(key))
     joined = df.join(gone, same, "left").select(*(df[c] for c in rest), df[text], at)
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.BinaryType()]
-    return joined.mapInArrow(run, T.StructType([*base.schema, *(T.StructField(c, k) for c, k in zip(names, kinds, strict=True))]))
+    return joined.mapInArrow(lean(run), T.StructType([*base.schema, *(T.StructField(c, k) for c, k in zip(names, kinds, strict=True))]))

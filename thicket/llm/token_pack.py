@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from thicket.llm.common import scratch_path
+from thicket.llm.common import lean, scratch_path
 
 MAGIC = b"TKPACK01"
 #: magic, width, ids in a block, documents, documents without a doc_id, ids, blocks
@@ -228,9 +228,9 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, folder: str, doc_id:
     if cuts:
         borders = sorted(set(cuts))
         shard = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b < F.col("doc_id"))))
-    packed = rows.mapInArrow(encode, "doc_id long, n long, packed binary").withColumn("shard", shard)
+    packed = rows.mapInArrow(lean(encode), "doc_id long, n long, packed binary").withColumn("shard", shard)
     dealt = packed.repartitionById(n, F.col("shard")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "packed")
-    return sorted(tuple(r) for r in dealt.mapInArrow(store, "file string, docs long, ids long").collect())
+    return sorted(tuple(r) for r in dealt.mapInArrow(lean(store), "file string, docs long, ids long").collect())
 
 
 def read(spark: SparkSession, folder: str, shards: list[tuple[str, int, int]]) -> DataFrame:
@@ -255,7 +255,7 @@ def read(spark: SparkSession, folder: str, shards: list[tuple[str, int, int]]) -
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select("path", "content")
-    return files.mapInArrow(parse, "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(lean(parse), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def pack_table(df: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

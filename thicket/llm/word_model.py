@@ -34,9 +34,9 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from thicket.llm.common import materialize
+from thicket.llm.common import lean, materialize, release
 
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 #: Words that a part should get at most; a part's distinct bigrams lie in a task's memory.
 PART_TOKENS = 16_000_000
 SEGMENT = 1 << 20
@@ -191,7 +191,10 @@ class Chunk:
     """The words of some documents of one language. keys: distinct bigrams by part, sorted within each."""
 
     def __init__(self, lang: str, words: np.ndarray, contexts: np.ndarray, folds: np.ndarray, parts: int, wide: np.ndarray, spread: np.ndarray, inverse: bool):
-        key = folds.astype(np.uint64) << np.uint64(60) | contexts.astype(np.uint64) << np.uint64(_SECOND) | words.astype(np.uint64) & _LOW
+        key = contexts.astype(np.uint64)
+        key <<= np.uint64(_SECOND)
+        key |= words & np.uint32(_LOW)
+        key[folds == 1] |= _FOLD
         self.lang = lang
         if inverse:
             distinct, place = np.unique(key, return_inverse=True)
@@ -227,16 +230,17 @@ def chunks(batches: Iterator[pa.RecordBatch], parts: int, wide: np.ndarray, spre
 
     def flush() -> Iterator[tuple[Chunk, dict]]:
         for lang in sorted(held):
-            ids, contexts, folds, docs, spelled = (np.concatenate(x) for x in zip(*held[lang], strict=True))
-            chunk = Chunk(lang, ids, contexts, folds, parts, wide, spread, spelling is not None)
+            ids, contexts, spelled, docs, sizes = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
+            chunk = Chunk(lang, ids, contexts, np.repeat((docs & 1).astype(np.uint8), sizes), parts, wide, spread, spelling is not None)
+            del ids, contexts
             more = {}
             if spelling is not None:
-                new = np.append(True, docs[1:] != docs[:-1])
                 of_key = np.zeros(len(chunk.keys), dtype=np.uint8)
                 of_key[chunk.place] = spelled
-                more = {"docs": docs[new], "sizes": np.diff(np.append(np.flatnonzero(new), len(docs))), "spelled": of_key}
+                more = {"docs": docs, "sizes": sizes, "spelled": of_key}
             yield chunk, more
-        held.clear()
+            del chunk, more
+            release()
 
     for batch in batches:
         langs = batch.column(0).to_pylist()
@@ -251,8 +255,9 @@ def chunks(batches: Iterator[pa.RecordBatch], parts: int, wide: np.ndarray, spre
         for k, lang in enumerate(names.tolist()):
             some = np.flatnonzero(of == k) if len(names) > 1 else slice(None)
             if len(ids[some]):
-                docs = doc[rows[some]]
-                held[lang].append((ids[some], contexts[some], (docs & 1).astype(np.uint8), docs, spelled[some] if len(spelled) else spelled))
+                row = rows[some]
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                held[lang].append((ids[some], contexts[some], spelled[some] if len(spelled) else spelled, doc[row[first]], np.diff(np.append(first, len(row)))))
         total += len(ids)
         if total >= CHUNK_TOKENS:
             yield from flush()
@@ -278,7 +283,7 @@ def requests(docs: DataFrame, parts: int, wide: np.ndarray, spread: np.ndarray)
                 ["lang", "chunk", "part", "keys", "counts"],
             )
 
-    return docs.mapInArrow(run, "lang string, chunk long, part int, keys binary, counts binary")
+    return docs.mapInArrow(lean(run), "lang string, chunk long, part int, keys binary, counts binary")
 
 
 # parts ------------------------------------------------------------------------------------------------------------------
@@ -343,7 +348,10 @@ def answer(table: pa.Table, wide: np.ndarray) -> pa.Table:
             ]
             sizes = np.array([len(x) for x in pieces], dtype="<u4").tobytes()
             row(_REPLY, lang, name, part, 0, None, sizes + b"".join(pieces))
-    return pa.Table.from_pydict(out, schema=_ANSWER)
+    answers = pa.Table.from_pydict(out, schema=_ANSWER)
+    del table, out
+    release()
+    return answers
 
 
 def _residues(totals: np.ndarray) -> np.ndarray:
@@ -381,7 +389,7 @@ def states(docs: DataFrame, parts: int, wide: np.ndarray, spread: np.ndarray, sp
             packed = [pack(more["docs"].view(np.uint64)), pack(more["sizes"].astype(np.uint32)), pack(step), pack(more["spelled"])]
             yield pa.RecordBatch.from_arrays([pa.array([chunk.lang]), pa.array([chunk.name], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], ["lang", "chunk", "docs", "sizes", "places", "spelled"])
 
-    return docs.mapInArrow(run, "lang string, chunk long, docs binary, sizes binary, places binary, spelled binary")
+    return docs.mapInArrow(lean(run), "lang string, chunk long, docs binary, sizes binary, places binary, spelled binary")
 
 
 _SCORE = pa.schema([("lang", pa.string()), ("doc", pa.int64()), ("total", pa.float64()), ("n", pa.int64())])
