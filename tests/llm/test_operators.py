@@ -360,6 +360,47 @@ def test_chunks_encode_as_the_library():
     assert [ids[e - s : e].tolist() for e, s in zip(ends, sizes)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_tokens_are_those_of_the_untouched_library(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = VOCABULARY("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [*(t for _, t in TEXTS), "hello <|endoftext|> world", "<|startoftext|>a<|endoftext|><|endoftext|>", "<|endoftext", "x <|EndOfText|>", "Äb<|startoftext|>\nÉ ok", "end<|endoftext|>", None]
+    rows = [(i if i % 5 else None, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(token_pack, "RANGE_IDS", 50)
+    expect = defaultdict(list)
+    for d, t in rows:
+        expect[d].append(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes())
+    for size in (1, 100, token_pack.SHARD_BYTES):
+        folder = token_pack.scratch_path(spark, "tokens")
+        shards = token_pack.write(frame, path, 2, folder, special_tokens=True, shard_bytes=size)
+        assert size > 1 or len(shards) == len(rows)
+        got = sorted(token_pack.read(spark, shards).collect(), key=lambda r: r["start"])
+        by_id = defaultdict(list)
+        for r in got:
+            by_id[r["doc_id"]].append(bytes(r["ids"]))
+        assert {d: sorted(x) for d, x in by_id.items()} == {d: sorted(x) for d, x in expect.items()}
+        assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+        assert [-1 if r["doc_id"] is None else r["doc_id"] for r in got] == sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = VOCABULARY("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [t for _, t in TEXTS if t and len(t) < 5000] + ["a  b\n c <|endoftext|>d"]
+    ids, sizes = token_pack.ChunkEncoder(path, special_tokens=True).encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    assert [ids[e - s : e].tolist() for e, s in zip(ends, sizes)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_shards_need_a_file_system(spark, docs):
+    with pytest.raises(Exception):
+        token_pack.write(docs, VOCABULARY("word_bpe_49k.json"), 2, "nosuch://place/folder")
+
+
 # suffix arrays
 
 

@@ -60,7 +60,7 @@ def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = token_pack.pack_table(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY("word_bpe_49k.json"), end_id=2)
+    docs = token_pack.pack_table(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY("word_bpe_49k.json"), end_id=2, special_tokens=True)
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
