@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thicket.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
-from thicket.llm.common import materialize, tuned
+from thicket.llm.common import free_name, materialize, tuned
 from thicket.llm.queries import PATTERN, VOCABULARY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and short texts fail the base rules; the verdict of equal texts is the same."""
     tuned(spark)
     return quality_rules.kept(docs)
 
@@ -26,31 +26,38 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents share; n_chars follows the text. A text that loses all its lines is empty."""
     tuned(spark)
     shorter = line_dedup.dedup(docs)
+    dropped = free_name(docs, "n_dropped")
     if "n_chars" in docs.columns:
-        shorter = shorter.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        shorter = shorter.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return shorter.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that with the smallest doc_id. Of rows that share this doc_id, all stay; rows without one too."""
     tuned(spark)
-    found = simhash.near_duplicates(docs).where("doc_id IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias("copy")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("copy"), "left_anti")
+    copy = free_name(docs, "copy")
+    found = simhash.near_duplicates(docs).where("doc_id IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(copy), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item. Rows without a doc_id, and null and empty texts, stay."""
     tuned(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids, their number, and the text decoded from the ids, in place of the text."""
+    """The documents' ids, their number, and the text decoded from the ids, in place of the text; a null text becomes an empty one.
+
+    The columns ids and n_tokens get underscores before them where the table has such columns already.
+    """
     tuned(spark)
     ranks = VOCABULARY("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs, ranks, PATTERN).drop("text")
-    decoded = bpe.decode(ids, ranks, PATTERN)
-    return decoded.withColumns({"n_tokens": F.size("ids").cast("long"), "text": F.col("decoded").cast("string")}).drop("decoded")
+    coded = bpe.encode(docs, ranks, PATTERN)
+    ids = coded.columns[-1]
+    decoded = bpe.decode(coded.drop("text"), ranks, PATTERN, ids)
+    text, n_tokens = decoded.columns[-1], free_name(coded, "n_tokens")
+    return decoded.withColumns({n_tokens: F.size(ids).cast("long"), "text": F.col(text).cast("string")}).drop(text)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, types as T
 
 from thicket.llm.common import free_name, lean, list_array
 
-LEAF_CHARS = 4096
+LEAF_CHARS = 512
 LEAF_BYTES = 512
 LEAF_IDS = 4096
 

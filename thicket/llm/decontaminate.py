@@ -7,7 +7,7 @@ along the item without gaps, and the pair counts if in some window of ``WINDOW``
 
 Words are runs of letters and digits of the lower-cased text. Items shorter than a window have too few places for the masks: they are
 cut into one piece more than words may differ, so one piece is always intact, and the pieces are their seeds. Items of fewer words than a
-mask spans must agree word for word and are one piece; items of fewer than ``LEAST`` words are too short to prove anything and are never found. Null and empty texts hold
+mask spans must agree word for word and are one piece; items of fewer than ``LEAST`` words prove nothing and are not looked for, unless ``least`` says so. Null and empty texts hold
 no words. Rows without a doc_id cannot be named in the result and are left alone; repeated rows give one result.
 
 The benchmark's hashes are broadcast if there are at most ``BROADCAST_SEEDS`` (16 MB or so), which is counted first; beyond it they
@@ -20,7 +20,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from thicket.llm.common import materialize
+from thicket.llm.common import free_name, materialize
 
 #: Fixed masks of weight 6; each ignores other positions.
 MASKS = ("1101100101", "1011010011", "1100101011", "1110010101")
@@ -83,11 +83,14 @@ def _best(part: Column, item: Column, over: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(windows, lambda i: F.aggregate(F.slice(same, i, size), F.lit(0), lambda a, b: a + b))), F.lit(0))
 
 
-def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_window, similarity): each document and item that overlap, with their best window."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("item")).where((F.size("item") >= LEAST) & F.col("item_id").isNotNull())
+def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, least: int = LEAST) -> DataFrame:
+    """(doc_id, item_id, n_matched, n_window, similarity): each document and item that overlap, with their best window.
+
+    least: words that an item must have; with 1, a document that has the word of an item of one word overlaps with it.
+    """
+    items = benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("item")).where((F.size("item") >= max(1, least)) & F.col("item_id").isNotNull())
     items = materialize(items, "items")
-    # lengths of short items: at most WINDOW - LEAST of them
+    # lengths of short items: fewer than WINDOW of them
     sizes = sorted(r[0] for r in items.where(F.size("item") < WINDOW).select(F.size("item")).distinct().collect())
     spans = sorted({length for n in sizes for _, length in _pieces(n)})
     seeds = _hashed(items.where(F.size("item") >= WINDOW), "item", "item_at", [])
@@ -112,7 +115,8 @@ def overlaps(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     return found.groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_window").alias("n_window")).withColumn("similarity", F.col("n_matched") / F.col("n_window"))
 
 
-def clean(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
     """The rows of ``df`` that overlap with no item."""
-    found = overlaps(df, benchmark, doc_id, text, item_id, item_text).select(F.col("doc_id").alias("contaminated")).distinct()
-    return df.join(found, F.col(doc_id) == F.col("contaminated"), "left_anti")
+    hit = free_name(df, "contaminated")
+    found = overlaps(df, benchmark, doc_id, text, item_id, item_text, least=least).select(F.col("doc_id").alias(hit)).distinct()
+    return df.join(found, F.col(doc_id) == F.col(hit), "left_anti")

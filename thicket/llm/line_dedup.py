@@ -2,8 +2,8 @@
 
 Every line of at least ``min_chars`` code points (stripped, A-Z lower-cased) gives a row (96-bit hash, document, position). Rows
 are range-partitioned by hash, document and position, so one line that a third of the corpus holds is spread over many partitions,
-and sorted within them. One pass over a partition decides each line group that lies inside it. The groups at a partition's two
-ends may go on in its neighbours: their rows are passed on as open, and are decided by what all partitions together know of these
+and sorted within them. One pass over a partition's stream decides each line group that lies inside it, and holds no more of a group than its
+first few documents and its largest one. The groups at a partition's two ends may go on in its neighbours: their rows are passed on as open, and are decided by what all partitions together know of these
 hashes (at most two a partition, so that table is small whatever the corpus).
 
 The result of a document is a bitmap with a bit for each line (1: keep), deflated; ``apply`` puts the kept lines together again.
@@ -69,24 +69,43 @@ def _groups(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+_NO_ROWS = np.zeros(0, dtype=[("h", "<i8"), ("h2", "<i4"), ("doc", "<i8"), ("row_key", "<i8"), ("pos", "<i4")])
+
+
 def decide(rows: DataFrame, partitions: int, min_docs: int) -> DataFrame:
     """(doc, row_key, pos, h, h2, open) of the lines that go, and of those that a look at all partitions must decide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=pa.schema([("h", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("row_key", pa.int64()), ("pos", pa.int32())]))
-        if not len(table):
-            return
-        h, h2, doc = (table.column(c).to_numpy() for c in ("h", "h2", "doc"))
-        new = _groups(h, h2)
-        group = np.cumsum(new) - 1
-        firsts = np.flatnonzero(new)
-        docs = np.bincount(group, weights=_groups(h, h2, doc)).astype(np.int64)
-        lasts = np.append(firsts[1:], len(h)) - 1
-        is_open = (group == 0) | (group == group[-1])
-        gone = ~is_open & (docs[group] >= min_docs) & (doc != doc[lasts][group])
-        take = np.flatnonzero(is_open | gone)
-        out = table.take(pa.array(take)).append_column("open", pa.array(is_open[take])).combine_chunks()
-        yield from out.select(["doc", "row_key", "pos", "h", "h2", "open"]).to_batches(max_chunksize=1 << 16)
+        held, first = _NO_ROWS, True  # rows of the last group so far, and whether it is the first, too
+
+        def out(rows: np.ndarray, is_open: bool) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(rows), 1 << 16):
+                few = rows[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(few[c].copy()) for c in ("doc", "row_key", "pos", "h", "h2")), pa.array(np.full(len(few), is_open))], ["doc", "row_key", "pos", "h", "h2", "open"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.empty(batch.num_rows, dtype=_NO_ROWS.dtype)
+            for i, c in enumerate(_NO_ROWS.dtype.names):
+                new[c] = batch.column(i).to_numpy()
+            rows = np.concatenate([held, new])
+            starts = np.flatnonzero(_groups(rows["h"], rows["h2"]))
+            if first and len(starts) > 1:  # the partition's first group may have begun before it
+                yield from out(rows[: starts[1]], True)
+                rows, starts, first = rows[starts[1] :], starts[1:] - starts[1], False
+            whole, last = rows[: starts[-1]], rows[starts[-1] :]
+            if len(whole):
+                group = np.cumsum(_groups(whole["h"], whole["h2"])) - 1
+                docs = np.bincount(group, weights=_groups(whole["h"], whole["h2"], whole["doc"]))
+                ends = np.append(starts[1:-1], len(whole)) - 1
+                yield from out(whole[(docs[group] >= min_docs) & (whole["doc"] != whole["doc"][ends][group])], False)
+            # of a group that goes on, what lies between its first documents and its largest so far goes for sure
+            number = np.cumsum(_groups(last["doc"]))
+            between = (number >= min_docs) & (number < number[-1])
+            yield from out(last[between], False)
+            held = last[~between]
+        yield from out(held, True)
 
     ordered = rows.repartitionByRange(partitions, "h", "h2", "doc", "pos").sortWithinPartitions("h", "h2", "doc", "pos")
     return ordered.mapInArrow(lean(run), "doc long, row_key long, pos int, h long, h2 int, open boolean")

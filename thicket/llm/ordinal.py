@@ -130,7 +130,8 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """Features and grades of at most ``most`` labelled documents."""
     chosen = labels.select(F.col(doc_id).alias("labelled"), grade(F.col("quality"), F.col("toxic")).alias("grade")).where("labelled IS NOT NULL AND grade IS NOT NULL")
     chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled", "grade").limit(most)  # at most ``most`` rows of 12 bytes: small enough to broadcast
-    met = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("labelled")).select("labelled", "grade", F.col(text).alias("text"))
+    plain = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    met = plain.join(F.broadcast(chosen), F.col("doc") == F.col("labelled")).select("labelled", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()

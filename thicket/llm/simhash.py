@@ -10,8 +10,8 @@ the codes that share one of 15 pairs of blocks (about 21 bits). Within such a bu
 fingerprints discards pairs by maximum coordinate difference (the triangle inequality, so none is lost); survivors are verified.
 
 A bucket is first contracted: all members linked to its least code are joined by one link each. What is left to compare is members
-that do not hang together yet. Large buckets are cut into chunks of ``CHUNK`` codes, and each pair of chunks is a task of its own, so no
-task holds more than two chunks; a task returns only links that join parts, fewer than it has codes, never all pairs.
+that do not hang together yet: those far from the least code, with one another and with the rest. Large buckets are cut into chunks of
+``CHUNK`` codes, and each pair of chunks is a task of its own, so no task holds more than two chunks; a task returns only links that join parts, fewer than it has codes, never all pairs.
 
 Nulls: null, empty and blank texts have the fingerprint zero, linked like any other. Rows without an id get a fingerprint and,
 if any row of their component has an id, its component; repeated rows are copies of one another.
@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from thicket.llm.common import free_name, lean, materialize, utf8
 from thicket.llm.components import components
@@ -133,6 +133,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _within(a: Column, b: Column, max_bits: int) -> Column:
+    """Whether two codes are linked: first by their distances to the references (made where codes meet, as they cost less than to be carried)."""
+    near = F.lit(True)
+    for p in pivots().view(np.int64).tolist():
+        near &= F.abs(F.bit_count(a.bitwiseXOR(F.lit(p))) - F.bit_count(b.bitwiseXOR(F.lit(p)))) <= max_bits
+    return near & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
+
+
 def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b) of ids of classes (columns fp, id; one row a fingerprint) that span the components of all links."""
     if max_bits > BLOCKS - 2:
@@ -141,17 +149,24 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     buckets = classes.select("fp", "id", F.explode(keys).alias("key")).select("fp", "id", "key.k", "key.v")
     least = buckets.groupBy("k", "v").agg(F.min(F.struct("fp", "id")).alias("least"), F.count("*").alias("n")).where("n > 1")
     met = materialize(buckets.join(least, ["k", "v"]).select("k", "v", "n", "fp", "id", F.col("least.fp").alias("fp0"), F.col("least.id").alias("id0")), "buckets")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= max_bits
+    near = _within(F.col("fp"), F.col("fp0"), max_bits)
     stars = met.where(near).where("id != id0").select(F.col("id").alias("a"), F.col("id0").alias("b")).distinct()
     # A member that hangs on the least code needs no links to others that do; one that doesn't is compared with all. A bucket of
     # two is done, and so is one whose members all hang on.
-    # Chunks of a bucket meet pairwise: chunk i goes to the pairs (i, j) and (j, i) for all j.
+    # A bucket of more than CHUNK codes is cut: chunks of far codes meet pairwise, and each meets the chunks of near codes.
     far = met.where("n > 2").groupBy("k", "v").agg(F.sum(F.when(near, 0).otherwise(1)).alias("far")).where("far > 0")
     left = met.where("n > 2").join(far, ["k", "v"])
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = left.select("k", "v", "fp", "id", near.alias("near"), F.explode(pairs).alias("pair")).select("k", "v", "pair.i", "pair.j", "near", "fp", "id")
+    far_chunks, near_chunks = (F.ceil(x / CHUNK).cast("int") for x in (F.col("far"), F.col("n") - F.col("far")))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.pmod(F.xxhash64("fp"), F.when(near, near_chunks).otherwise(far_chunks)).cast("int")
+    pairs = (
+        F.when(F.col("n") <= CHUNK, F.array(pair(F.lit(0), F.lit(0))))
+        .when(near, F.transform(each(far_chunks), lambda i: pair(i, far_chunks + own)))
+        .otherwise(F.concat(F.transform(each(far_chunks), lambda j: pair(F.least(own, j), F.greatest(own, j))), F.transform(each(near_chunks), lambda j: pair(own, far_chunks + j))))
+    )
+    mixed = (F.col("n") > CHUNK) & (F.col("pair.j") >= far_chunks)
+    dealt = left.select("k", "v", "n", "far", "fp", "id", near.alias("near"), F.explode(pairs).alias("pair")).select("k", "v", "pair.i", "pair.j", "near", "fp", "id", mixed.alias("mixed"))
     group = ["k", "v", "i", "j"]
     rest = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(lean(lambda batches: _compare(batches, max_bits)), "a long, b long")
     return stars.union(rest)
@@ -182,7 +197,7 @@ def _compare(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Re
 
 def _links_of(table: pa.Table, max_bits: int) -> Iterator[pa.RecordBatch]:
     columns = [c.to_numpy() for c in table.columns]
-    near, codes, ids = columns[4].astype(bool), columns[5].view(np.uint64), columns[6]
+    near, codes, ids, mixed = columns[4].astype(bool), columns[5].view(np.uint64), columns[6], columns[7].astype(bool)
     new = np.ones(len(ids), dtype=bool)
     new[1:] = np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)
     starts = np.append(np.flatnonzero(new), len(ids))
@@ -191,7 +206,7 @@ def _links_of(table: pa.Table, max_bits: int) -> Iterator[pa.RecordBatch]:
     pivot = pivot_table(codes)
     a, b = [], []
     for d in range(1, min(SMALL, len(ids))):  # all small groups at once, by the distance of rows
-        i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]) & ~(near[:-d] & near[d:]))
+        i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]) & ~(near[:-d] & near[d:]) & (~mixed[:-d] | (near[:-d] != near[d:])))
         i = i[np.abs(pivot[i] - pivot[i + d]).max(axis=1, initial=0) <= max_bits]
         i = i[np.bitwise_count(codes[i] ^ codes[i + d]) <= max_bits]
         a.append(ids[i])
@@ -199,7 +214,7 @@ def _links_of(table: pa.Table, max_bits: int) -> Iterator[pa.RecordBatch]:
     for g in np.flatnonzero(sizes > SMALL):
         at = slice(starts[g], starts[g + 1])
         far_at, near_at = np.flatnonzero(~near[at]) + starts[g], np.flatnonzero(near[at]) + starts[g]
-        found = [(far_at[i], far_at[j]) for i, j in links_within(codes[far_at], max_bits)]
+        found = [] if mixed[starts[g]] else [(far_at[i], far_at[j]) for i, j in links_within(codes[far_at], max_bits)]
         for i in far_at if len(near_at) else ():
             rest = near_at[np.abs(pivot[near_at] - pivot[i]).max(axis=1) <= max_bits]
             hit = rest[np.bitwise_count(codes[rest] ^ codes[i]) <= max_bits]
