@@ -135,6 +135,7 @@ def test_result_shapes(store):
         q.results(store, "OTHER")
     with pytest.raises(ValueError):
         ForSet(["OTHER"]).collection(store)
+    assert [DescriptionType.from_ordinal(n).name for n in range(3)] == ["FSN", "SYNONYM", "DEFINITION"]
     with pytest.raises(ValueError):
         DescriptionType.from_ordinal(9)
 

@@ -1,10 +1,12 @@
 """The registered queries against their SQL, on the smallest tables."""
 
+import os
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__
+from thicket.queries import ORACLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,10 +26,18 @@ def test_every_sql_belongs_to_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["example_query", "xor_three", "rel_restriction", "kind_of_versioned", "fsn_for_concept", "text_boolean", "text_scored_topk", "dyn_long_range", "index_asof_ext_type"])
+#: All SQL takes some ten minutes: THICKET_ALL_SQL=1 asks for it, otherwise those of USUAL and ANSWERED run.
+ALL_SQL = os.environ.get("THICKET_ALL_SQL") == "1"
+USUAL = {"xor_three", "rel_restriction", "kind_of_versioned", "fsn_for_concept", "text_boolean", "text_scored_topk", "dyn_long_range", "index_asof_ext_type", "index_changed_versions_edited", "changed_from_previous", "xml_round_trip"}
+#: Queries whose answers were chosen to hold something on every table.
+ANSWERED = {"example_query", "intersection", "rel_restriction_flag", "refset_contains_concept", "rel_circular_some", "kind_of_stated", "nested_query_test"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES if ALL_SQL else USUAL | ANSWERED))
 def test_query_finds_what_its_sql_finds(spark, sql, name):
     ours = __spark_entry__.queries()[name](spark, SF).toPandas()
     theirs = sql.execute(__spark_entry__.oracle_sql()[name]).df()
+    assert len(theirs) or name not in ANSWERED
     columns = sorted(theirs.columns)
     assert columns == sorted(ours.columns)
     rows = lambda df: sorted(map(tuple, df[columns].astype(str).values.tolist()))

@@ -1,4 +1,4 @@
-"""Clauses of WHERE: each compiles, lazily and without side effects, to a DataFrame of distinct ids.
+"""Clauses of WHERE: each compiles to a DataFrame of distinct ids. Only closures run anything then: their rounds are checkpointed.
 
 ``compile(ctx, incoming)`` returns ids within ``incoming``; clauses that map to other components (names, reference sets) restrict
 what they map from instead. Values and views are given as keys of LET, or as they are.
@@ -13,7 +13,7 @@ from typing import Any, ClassVar
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thicket.functions import text as text_index
-from thicket.operators.taxonomy import children, descendants, kinds, nids
+from thicket.operators.taxonomy import children, descendants, held_edges, kinds, nids
 from thicket.plans.model import CURRENT_VIEW, Coordinate
 from thicket.session import cut
 from thicket.sources.store import TermStore
@@ -228,7 +228,7 @@ class RelationshipIsCircular(Clause):
         rows = ctx.store.snapshot("relationship", view)
         rows = rows.join(kinds(ctx.store, value, view).withColumnRenamed("nid", "rtype"), "rtype", "left_semi") if ctx.value(self.type_subsumption) else rows.where(F.col("rtype") == value)
         rows = cut(within(rows.select(F.col("source").alias("nid"), "destination").distinct(), incoming))
-        edges = ctx.store.edges(view).select(F.col("source").alias("at"), F.col("destination").alias("up"))
+        edges = held_edges(ctx.store, view).select(F.col("source").alias("at"), F.col("destination").alias("up"))
         met = frontier = cut(rows.select("nid", F.col("nid").alias("at")).distinct())
         while not frontier.isEmpty():
             above = frontier.join(edges, "at").select("nid", F.col("up").alias("at")).distinct()
@@ -302,7 +302,7 @@ class ComponentIsMemberOfRefset(Clause):
 
 
 @dataclass
-class ComponentsFromSnomedIds(Clause):
+class ComponentsFromExternalIds(Clause):
     """Components by their external ids: a list, or a key of one."""
 
     ids: Any

@@ -17,6 +17,13 @@ def children(store: TermStore, parent: int, view: Coordinate | None) -> DataFram
     return nids(store.edges(view).where(F.col("destination") == parent), "source")
 
 
+def held_edges(store: TermStore, view: Coordinate | None) -> DataFrame:
+    """The hierarchy under the view, computed once a store and read from its checkpoint in every round."""
+    if ("edges", view) not in store._closures:
+        store._closures["edges", view] = cut(store.edges(view))
+    return store._closures["edges", view]
+
+
 def descendants(store: TermStore, root: int, view: Coordinate | None) -> DataFrame:
     """All concepts under ``root``, without itself.
 
@@ -25,9 +32,7 @@ def descendants(store: TermStore, root: int, view: Coordinate | None) -> DataFra
     """
     key = (root, view)
     if key not in store._closures:
-        if ("edges", view) not in store._closures:
-            store._closures["edges", view] = cut(store.edges(view))
-        edges = store._closures["edges", view]
+        edges = held_edges(store, view)
         frontier = cut(nids(edges.where(F.col("destination") == root), "source").where(F.col("nid") != root))
         met = frontier
         while not frontier.isEmpty():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime
-from enum import Enum, auto
+from enum import Enum
 
 
 class State(str, Enum):
@@ -39,9 +39,10 @@ class ReturnType(str, Enum):
 
 
 class DescriptionType(Enum):
+    # The types' numbers.
     FSN = 0
-    DEFINITION = auto()
-    SYNONYM = auto()
+    SYNONYM = 1
+    DEFINITION = 2
 
     @classmethod
     def from_ordinal(cls, n: int) -> DescriptionType:
@@ -82,7 +83,7 @@ class Coordinate:
 
 LATEST = Coordinate()
 #: The LET key that every query has: its own view.
-CURRENT_VIEW = "Current taxonomy coordinate"
+CURRENT_VIEW = "view of the query"
 
 SCHEMAS = {
     "concept": "nid long, uuid string, time timestamp_ntz, state string",

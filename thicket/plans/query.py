@@ -59,10 +59,12 @@ class Query:
     def compute(self, store: TermStore) -> DataFrame:
         """The distinct ids that the query finds.
 
-        The universe is computed once and checkpointed (ids only): clauses refer to it many times, and a plan that repeats it in each
-        takes the optimizer a time that grows exponentially with nesting.
+        A clause without children refers to the universe once, so that its filter reaches the scan. Other clauses refer to it many times, and a
+        plan that repeats it takes the optimizer a time that grows exponentially with nesting: for them it is checkpointed (ids only).
         """
-        ctx, incoming = self.context(store), cut(self.for_.collection(store))
+        ctx, incoming = self.context(store), self.for_.collection(store)
+        if not isinstance(self.where, Clause) or self.where.children:
+            incoming = cut(incoming)
         found = self.where.compile(ctx, incoming) if isinstance(self.where, Clause) else self.where(ctx, incoming)
         return found.select("nid").distinct()
 

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thicket.functions import dynamic, text
 from thicket.operators.clauses import (
-    And, AndNot, ChangedFromPreviousVersion, Clause, ComponentIsMemberOfRefset, ComponentsFromSnomedIds, ConceptForComponent, ConceptIs, ConceptIsChildOf, ConceptIsDescendentOf,
+    And, AndNot, ChangedFromPreviousVersion, Clause, ComponentIsMemberOfRefset, ComponentsFromExternalIds, ConceptForComponent, ConceptIs, ConceptIsChildOf, ConceptIsDescendentOf,
     ConceptIsKindOf, DescriptionActiveLuceneMatch, DescriptionActiveRegexMatch, DescriptionLuceneMatch, DescriptionRegexMatch, FullySpecifiedNameForConcept, Intersection, Not, Or,
     PreferredNameForConcept, RefsetContainsConcept, RefsetContainsKindOfConcept, RefsetContainsString, RefsetLuceneMatch, RelationshipIsCircular, RelRestriction, RelType, Union, Xor,
 )
 from thicket.plans import serde
-from thicket.plans.model import LATEST, ForType, ReturnType, State
+from thicket.plans.model import LATEST, Coordinate, ForType, Premise, ReturnType, State
 from thicket.plans.query import ForSet, Query, example_query
 from thicket.session import ensure_checkpoint_dir
 from thicket.sources.tables import BRAND, CUSTOMER, DOCUMENT, EVENTS, IS_A, LABELS, LINE, NATION, ORDER, PART, PART_TYPE, REFSET, REGION, ROOT, STEP, SUPPLIER, USER, VECTORS, named_nid, pair_nid, star_store
@@ -121,8 +121,8 @@ def _store(name: str, run: Callable, oracle: str | None) -> None:
     _register(name, lambda spark, sf_dir: run(star_store(spark, sf_dir)), oracle)
 
 
-ASIA, NATION_8, BRAND_3, PROMO = REGION * STEP + 2, NATION * STEP + 8, BRAND * STEP + 3, named_nid(PART_TYPE, "PROMO")
-BUILDING = named_nid(REFSET, "BUILDING")
+ASIA, NATION_7, BRAND_3, PROMO = REGION * STEP + 2, NATION * STEP + 7, BRAND * STEP + 3, named_nid(PART_TYPE, "PROMO")
+BUILDING, HOUSEHOLD = named_nid(REFSET, "BUILDING"), named_nid(REFSET, "HOUSEHOLD")
 EARLY = LATEST.at(1997, 6, 30)
 _EARLY = "1997-06-30"
 EVERYTHING = ForSet([ForType.ALL_COMPONENTS])
@@ -140,7 +140,7 @@ _universes = {
 }
 for _name, (_types, _body) in _universes.items():
     _query(_name, And(), _sql(_body), for_=ForSet(_types))
-_SOME = [f"{n}" for n in (ROOT, ASIA, NATION_8, PART * STEP + 7)]
+_SOME = [f"{n}" for n in (ROOT, ASIA, NATION_7, PART * STEP + 7)]
 
 
 def _uuids(ids: list[str]) -> list[str]:
@@ -148,7 +148,7 @@ def _uuids(ids: list[str]) -> list[str]:
 
 
 _query("for_custom_set", And(), _sql(f"SELECT DISTINCT nid FROM concept_v WHERE nid IN ({', '.join(_SOME)})"), for_=ForSet([ForType.CUSTOM_SET], _uuids(_SOME)))
-_query("components_from_ids", ComponentsFromSnomedIds("ids"), _sql(f"SELECT DISTINCT nid FROM concept_v WHERE nid IN ({', '.join(_SOME)})"), let={"ids": _uuids(_SOME)})
+_query("components_from_ids", ComponentsFromExternalIds("ids"), _sql(f"SELECT DISTINCT nid FROM concept_v WHERE nid IN ({', '.join(_SOME)})"), let={"ids": _uuids(_SOME)})
 
 # hierarchy
 _query("concept_is", ConceptIs("asia"), _sql(f"SELECT DISTINCT nid FROM concept_v WHERE nid = {ASIA}"), let={"asia": ASIA})
@@ -158,10 +158,10 @@ _query("kind_of", ConceptIsKindOf("asia"), _sql("SELECT nid FROM k", {"k": ASIA}
 _query("kind_of_versioned", Or(ConceptIsKindOf("asia", "then")), _sql("SELECT nid FROM k_t", {"k_t": ASIA}, at=_EARLY), let={"asia": ASIA, "then": EARLY})
 
 # set algebra
-_both = {"asia": ASIA, "nation": NATION_8, "promo": PROMO, "brand": BRAND_3}
-_k = {"a": ASIA, "n": NATION_8, "p": PROMO, "b": BRAND_3}
+_both = {"asia": ASIA, "nation": NATION_7, "promo": PROMO, "brand": BRAND_3}
+_k = {"a": ASIA, "n": NATION_7, "p": PROMO, "b": BRAND_3}
 _query("and_", And(ConceptIsKindOf("promo"), ConceptIsKindOf("brand")), _sql("SELECT nid FROM p INTERSECT SELECT nid FROM b", _k), let=_both)
-_query("intersection", Intersection(ConceptIsKindOf("asia"), ConceptIsDescendentOf("nation")), _sql(f"SELECT nid FROM n WHERE nid <> {NATION_8} AND nid IN (FROM a)", _k), let=_both)
+_query("intersection", Intersection(ConceptIsKindOf("asia"), ConceptIsDescendentOf("nation")), _sql(f"SELECT nid FROM n WHERE nid <> {NATION_7} AND nid IN (FROM a)", _k), let=_both)
 _query("or_", Or(ConceptIsKindOf("brand"), ConceptIs("asia")), _sql(f"SELECT nid FROM b UNION SELECT {ASIA}", _k), let=_both)
 _query("union_", Union(ConceptIsKindOf("promo"), ConceptIsKindOf("brand")), _sql("SELECT nid FROM p UNION SELECT nid FROM b", _k), let=_both)
 _query("xor_", Xor(ConceptIsKindOf("promo"), ConceptIsKindOf("brand")), _sql("(SELECT nid FROM p EXCEPT SELECT nid FROM b) UNION (SELECT nid FROM b EXCEPT SELECT nid FROM p)", _k), let=_both)
@@ -169,8 +169,8 @@ _query("xor_three", Xor(ConceptIsKindOf("promo"), ConceptIsKindOf("brand"), Conc
 _query("not_", Not(ConceptIsKindOf("asia")), _sql("SELECT nid FROM concept_s WHERE nid NOT IN (FROM a)", _k), let=_both)
 _query("and_not", And(ConceptIsKindOf("promo"), AndNot(ConceptIsKindOf("brand"))), _sql("SELECT nid FROM p EXCEPT SELECT nid FROM b", _k), let=_both)
 _query("and_not_two", AndNot(ConceptIsKindOf("promo"), ConceptIsKindOf("asia")), _sql("SELECT DISTINCT nid FROM concept_v EXCEPT SELECT nid FROM p EXCEPT SELECT nid FROM a", _k), let=_both)
-_q = example_query(ASIA, ROOT, NATION_8)
-_register("example_query", lambda spark, sf_dir: _q.results(star_store(spark, sf_dir)), _sql(f"SELECT nid FROM a WHERE nid = {NATION_8} AND nid NOT IN (SELECT source FROM isa_s WHERE destination = {ROOT})", _k))
+_q = example_query(ASIA, ROOT, NATION_7)
+_register("example_query", lambda spark, sf_dir: _q.results(star_store(spark, sf_dir)), _sql(f"SELECT nid FROM a WHERE nid = {NATION_7} AND nid NOT IN (SELECT source FROM isa_s WHERE destination = {ROOT})", _k))
 _query("xor_versions", Xor(ConceptIsKindOf("asia"), ConceptIsKindOf("asia", "then")), _sql("(SELECT nid FROM k EXCEPT SELECT nid FROM k_t) UNION (SELECT nid FROM k_t EXCEPT SELECT nid FROM k)", {"k": ASIA, "k_t": ASIA}, at=_EARLY), let={"asia": ASIA, "then": EARLY})
 
 # relationships
@@ -179,7 +179,7 @@ _rel = {"type": _AN, "promo": PROMO, "part": PART * STEP + 7, "then": EARLY, "ye
 _kr = {"t": _AN, "p": PROMO}
 _restricted = "SELECT DISTINCT source AS nid FROM {} WHERE rtype IN (FROM {}) AND destination IN (FROM {}) AND source IN (SELECT nid FROM concept_v)"
 _query("rel_restriction", RelRestriction("type", "promo"), _sql(_restricted.format("rel_s", "t", "p"), _kr), let=_rel)
-_query("rel_restriction_flag", RelRestriction("type", "promo", "no"), _sql(f"SELECT DISTINCT source AS nid FROM rel_s WHERE rtype IN (FROM t) AND destination = {PROMO}", _kr), let=_rel)
+_query("rel_restriction_flag", RelRestriction("type", "part", "no"), _sql(f"SELECT DISTINCT source AS nid FROM rel_s WHERE rtype IN (FROM t) AND destination = {PART * STEP + 7}", _kr), let=_rel)
 _query("rel_restriction_no_dest_subsumption", RelRestriction("type", "part", destination_subsumption=False), _sql(f"SELECT DISTINCT source AS nid FROM rel_s WHERE rtype IN (FROM t) AND destination = {PART * STEP + 7}", _kr), let=_rel)
 _query("rel_restriction_no_type_subsumption", RelRestriction("pair", "promo", type_subsumption=False), _sql(f"SELECT DISTINCT source AS nid FROM rel_s WHERE rtype = {pair_nid(1, 1)} AND destination IN (FROM p)", _kr), let=_rel | {"pair": pair_nid(1, 1)})
 _query("rel_restriction_versioned", And(RelRestriction("type", "promo"), AndNot(RelRestriction("type", "promo", "then"))), _sql(f"{_restricted.format('rel_s', 't', 'p')} EXCEPT {_restricted.format('rel_t', 't_t', 'p_t')}", _kr | {"t_t": _AN, "p_t": PROMO}, at=_EARLY), let=_rel)
@@ -187,7 +187,31 @@ _query("rel_restriction_is_a", Or(RelRestriction("is_a", "asia")), _sql("SELECT
 _query("rel_type", RelType("type"), _sql("SELECT DISTINCT source AS nid FROM rel_s WHERE rtype IN (FROM t)", _kr), let=_rel)
 _query("rel_circular", RelationshipIsCircular("is_a", type_subsumption=False), _sql("SELECT DISTINCT source AS nid FROM isa_s"), let={"is_a": IS_A})
 _query("nested_query_test", And(ConceptIsKindOf("asia"), And(Or(RelRestriction("type", "promo"), ConceptIsChildOf("nation")), Not(Or(ConceptIsChildOf("asia"), ConceptIs("asia"))))),
-       _sql(f"SELECT nid FROM a WHERE (nid IN (SELECT source FROM rel_s WHERE rtype IN (FROM t) AND destination IN (FROM p)) OR nid IN (SELECT source FROM isa_s WHERE destination = {NATION_8})) AND nid NOT IN (SELECT source FROM isa_s WHERE destination = {ASIA}) AND nid <> {ASIA}", _k | {"t": _AN}), let=_both | _rel)
+       _sql(f"SELECT nid FROM a WHERE (nid IN (SELECT source FROM rel_s WHERE rtype IN (FROM t) AND destination IN (FROM p)) OR nid IN (SELECT source FROM isa_s WHERE destination = {NATION_7})) AND nid NOT IN (SELECT source FROM isa_s WHERE destination = {ASIA}) AND nid <> {ASIA}", _k | {"t": _AN}), let=_both | _rel)
+
+def _local_store(spark: SparkSession, sf_dir: str):
+    """Orders also relate to the nations that their lines are supplied from."""
+    store = star_store(spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(spark.read.parquet(f"{sf_dir}/supplier.parquet"), F.col("l_suppkey") == F.col("s_suppkey"))
+    columns = ["CAST(NULL AS LONG) AS nid", f"{ORDER * STEP} + l_orderkey AS source", f"{SUPPLIED} AS rtype", f"{NATION * STEP} + s_nationkey AS destination", "'INFERRED' AS premise", "l_shipdate AS time", "'ACTIVE' AS state"]
+    store.relationship = store.relationship.unionByName(lines.selectExpr(*columns))
+    return store
+
+
+def _stated_store(spark: SparkSession, sf_dir: str):
+    """What says which region a nation belongs to is stated, all else inferred."""
+    store = star_store(spark, sf_dir)
+    top = F.col("destination").between(REGION * STEP, NATION * STEP - 1) & (F.col("rtype") == IS_A)
+    store.relationship = store.relationship.withColumn("premise", F.when(top, "STATED").otherwise(F.col("premise")))
+    return store
+
+
+SUPPLIED = IS_A + 1
+_circular = Query(RelationshipIsCircular("supplied", type_subsumption=False), let={"supplied": SUPPLIED})
+_register("rel_circular_some", lambda spark, sf_dir: _circular.results(_local_store(spark, sf_dir)),
+          _sql("SELECT DISTINCT l.o AS nid FROM line l JOIN isa_s buyer ON buyer.source = l.o JOIN isa_s home ON home.source = buyer.destination JOIN isa_s seller ON seller.source = l.s WHERE home.destination = seller.destination"))
+_stated = Query(ConceptIsKindOf("asia"), let={"asia": ASIA}, view=Coordinate(premise=Premise.STATED))
+_register("kind_of_stated", lambda spark, sf_dir: _stated.results(_stated_store(spark, sf_dir)), _sql(f"SELECT {ASIA}::BIGINT AS nid UNION SELECT source FROM isa_s WHERE destination = {ASIA}"))
 
 # versions
 _HOUR = LATEST.at(2024, 1, 15, 12)
@@ -242,8 +266,8 @@ _query("return_for_component", ConceptIsKindOf("brand"), _sql(f"SELECT * FROM ({
 _query("return_preferred", ConceptIsKindOf("promo"), _sql(f"SELECT * FROM ({_syn}) WHERE concept_nid IN (FROM p)", _k), returns=ReturnType.DESCRIPTION_VERSION_PREFERRED, **_kinds)
 
 # reference sets
-_ref = {"building": BUILDING, "asia": ASIA, "customer": CUSTOMER * STEP + 11, "value": "11"}
-_query("refset_contains_concept", RefsetContainsConcept("building", "customer"), _sql(f"SELECT DISTINCT assemblage AS nid FROM sememe_v WHERE assemblage = {BUILDING} AND referenced = {CUSTOMER * STEP + 11}"), let=_ref)
+_ref = {"building": BUILDING, "household": HOUSEHOLD, "asia": ASIA, "customer": CUSTOMER * STEP + 33, "value": "11"}
+_query("refset_contains_concept", RefsetContainsConcept("household", "customer"), _sql(f"SELECT DISTINCT assemblage AS nid FROM sememe_v WHERE assemblage = {HOUSEHOLD} AND referenced = {CUSTOMER * STEP + 33}"), let=_ref)
 _query("refset_contains_kind_of_concept", RefsetContainsKindOfConcept("building", "asia"), _sql(f"SELECT DISTINCT assemblage AS nid FROM sememe_v WHERE assemblage = {BUILDING} AND referenced IN (FROM k)", {"k": ASIA}), let=_ref)
 _query("refset_contains_string", RefsetContainsString("building", "CUSTOMER#00"), _sql(f"SELECT DISTINCT assemblage AS nid FROM sememe_v WHERE assemblage = {BUILDING} AND contains(lower(string1), 'customer#00')"), let=_ref)
 _query("refset_long_match", RefsetLuceneMatch("value"), _sql("SELECT nid FROM sememe_v WHERE long1 = 11 ORDER BY nid LIMIT 1000"), let=_ref, for_=EVERYTHING)
@@ -307,6 +331,8 @@ _store("dyn_array_float", lambda st: dynamic.between(st.dynamic, 0.3, None, asse
 
 # index maintenance
 _store("index_changed_versions", lambda st: changed_versions(st.description).select("nid", "time"), _sql("SELECT nid, min(time) AS time FROM descr_v GROUP BY nid"))
+_register("index_changed_versions_edited", lambda spark, sf_dir: changed_versions(_edited_store(spark, sf_dir, None).description).select("nid", "time"),
+          _sql(f"SELECT nid, min(time) AS time FROM descr_v GROUP BY nid UNION ALL SELECT DISTINCT nid, TIMESTAMP '2020-01-01' FROM descr_v WHERE nid >= {DOCUMENT * STEP} AND nid < {(DOCUMENT + 1) * STEP}"))
 
 
 def _annotations(st, source: str | None) -> DataFrame:
