@@ -53,15 +53,24 @@ def _clean() -> None:
             return
 
 
+#: Spark then removes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The shuffles behind ``df`` are not needed any more. Spark's cleaner deletes their files once the driver's collector has met
-    the plan, which a driver with a large heap may not do for hours; so it is asked to.
+    The shuffles behind ``df`` are not needed once it is written, and Spark removes their files with the query. Its cleaner alone
+    may leave them for hours, as it waits for the driver's collector to meet the plan. Broadcasts still go that way, so the collector is asked to run.
     """
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     del df
     gc.collect()
     spark._jvm.System.gc()
