@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -704,3 +705,73 @@ def test_quality_rejects_words_in_no_order(spark):
 
 
 VOCAB = [a + b for a in ("sto", "lan", "qui", "riv", "map", "cop", "vio", "hol", "amb", "thr") for b in ("rm", "tern", "et", "er", "le", "per", "let", "low", "ead", "ing")]
+
+
+# substring dedup in little memory (last, as all tests draw from one source of random numbers)
+
+
+@pytest.mark.parametrize("merged", [1, 30, 1 << 18])
+def test_shards_are_merged_by_ranges(monkeypatch, merged):
+    monkeypatch.setattr(suffix_dedup, "MERGED", merged)
+    pieces = [prose(12)[: R.randint(50, 84)].encode() for _ in range(60)]
+    pieces += [p[:55] + b"y" * R.randint(0, 20) for p in pieces[:40]] + [b"x" + p[:60] for p in pieces[5:25]] + [b"z" * 70] * 9
+    docs = np.array([R.randrange(30) for _ in pieces])
+    least = {}
+    for p, d in zip(pieces, docs.tolist()):
+        for i in range(len(p) - 49):
+            least[p[i : i + 50]] = min(d, least.get(p[i : i + 50], d))
+    expect = [(k, i) for k, p in enumerate(pieces) for i in range(len(p) - 49) if docs[k] > least[p[i : i + 50]]]
+    for size in (60, 400, 1 << 20):
+        assert sorted(suffix_dedup.settle(pieces, docs, shard_bytes=size)) == expect
+
+
+def test_suffix_arrays_of_a_frequent_anchor_take_little_memory():
+    anchor = b"the anchor of 16"
+    source = np.random.default_rng(3)
+    pieces = [anchor + source.bytes(34 + i % 9) for i in range(50_000)]  # 2.7 MB, in one task
+    pieces += [p[:50] for p in pieces[:20]]
+    tracemalloc.start()
+    try:
+        got = suffix_dedup.settle(pieces, np.arange(len(pieces)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(got) == [(50_000 + i, 0) for i in range(20)]
+    assert peak < 150 << 20
+
+
+def test_runs_of_a_task_take_little_memory():
+    """Blocks of four million rows, as of a task that gets much of the input: none of them is a copy of another but the last ones."""
+    n, blocks = 1 << 18, 16
+    table = np.zeros(n, dtype=suffix_dedup._ROW)
+    source = np.random.default_rng(4)
+
+    def batches():
+        for k in range(blocks):
+            table["a"] = source.integers(0, 1 << 40, size=n, dtype=np.uint64) << np.uint64(24)
+            table["c"], table["doc"], table["at"] = source.integers(0, 1 << 63, size=n), k, np.arange(n) << 6 | 1
+            if k == blocks - 1:
+                table["a"][:5], table["c"][:5] = 7 << 24, 9
+                table["doc"][:5] = [1, 2, 3, 4, 4]
+            block = b"".join(table[c].tobytes() for c in suffix_dedup._ROW.names)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([False]), pa.array([block], pa.binary())], ["part", "done", "block"])
+
+    tracemalloc.start()
+    try:
+        got = [row for batch in suffix_dedup._met(batches()) for row in batch.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted((r["doc"], r["a"], r["whole"]) for r in got) == [(2, 7, True), (3, 7, True), (4, 7, True), (4, 7, True)]
+    assert peak < 300 << 20
+
+
+@pytest.mark.parametrize("few", [1, 300])
+def test_suffix_dedup_by_files_and_small_shards(spark, monkeypatch, few):
+    monkeypatch.setattr(suffix_dedup, "HELD", few)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 60 * few)
+    stock = prose(300)
+    rows = [(i, "".join(stock[(a := R.randrange(len(stock) - 90)) : a + R.randint(40, 90)] + R.choice(["|", "", "~~"]) for _ in range(4))) for i in range(80)]
+    rows += [(100 + i, f"{sentence()} {stock[:200]} {sentence()}") for i in range(40)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got), key=str) == bytes_brute(rows)

@@ -8,9 +8,13 @@ equal anchors, wherever they stand. The windows of a document that follow one an
 A run whose bytes a smaller document among the same task's texts has is a copy as a whole and goes no further, so of what very many documents
 share only a run a task and ``FLUSH`` runs meets the others. Where all these meet that have an anchor in common, a run whose bytes a smaller
 document has too is a copy. The rest, anchors with different runs (edges of copied passages), is settled exactly by suffix arrays: the runs' bytes
-form shards of ``SHARD`` bytes, each gets a suffix array by Larsson-Sadakane refinement in numpy (prefix doubling, in which only groups that
-are not settled are refined) and longest common prefixes as Kasai's (computed for all neighbours at once from the doubled ranks). Shards
-are merged by binary search of the windows of each in the sorted windows of those before it.
+come sorted by anchor and form shards of ``SHARD`` bytes, each gets a suffix array by Larsson-Sadakane refinement in numpy (prefix doubling, in
+which only groups that are not settled are refined) and longest common prefixes as Kasai's (computed for all neighbours at once from the doubled
+ranks). Only the shards of an anchor that has more than one are merged, by binary search of the windows of each in the sorted windows of those
+before it, a range of at most ``MERGED`` windows at a time.
+
+Memory of a task: ``FLUSH`` or ``HELD`` rows (beyond these, rows go to files of the task), one shard with its ranks (some 100 bytes a byte), or,
+of an anchor of many shards, its bytes, two words a run and one or two a window.
 
 Nulls: a null text is empty. Rows without a doc_id keep all their bytes and count for nothing. Rows that share a doc_id are one
 document: neither is smaller than the other, and if their texts differ each loses its own copies.
@@ -18,6 +22,8 @@ document: neither is smaller than the other, and if their texts differ each lose
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +38,10 @@ WINDOW = LENGTH - K + 1
 SIDE = (LENGTH - K + 1) // 2
 SEGMENT = 1 << 20
 FLUSH = 1 << 19
-SHARD = 8 << 20
+SHARD = 1 << 20
+HELD = 1 << 19
+FILES = 64
+MERGED = 1 << 18
 
 _RNG = np.random.default_rng(50)
 _BYTE = _RNG.integers(0, 1 << 64, size=256, dtype=np.uint64)
@@ -150,7 +159,7 @@ def _unpacked(data: bytes, names: tuple[str, ...] = _ROW.names) -> np.ndarray:
     return table
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
     """(doc, key, at, a, whole) of runs that are copies, and of those that a suffix array must settle."""
 
     def out(table: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -159,16 +168,45 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchor = (few["a"] >> np.uint64(24)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(pa.array(few[c].copy()) for c in _DONE), pa.array(anchor), pa.array(whole[i : i + (1 << 16)])], [*_DONE, "a", "whole"])
 
-    tables = []
-    for batch in batches:
-        for done, block in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if done:
-                copies = _unpacked(block.as_buffer(), _DONE)
-                yield from out(copies, np.ones(len(copies), dtype=bool))
-            else:
+    with contextlib.ExitStack() as stack:
+        tables, held, files = [], 0, []
+        for batch in batches:
+            for done, block in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if done:
+                    copies = _unpacked(block.as_buffer(), _DONE)
+                    yield from out(copies, np.ones(len(copies), dtype=bool))
+                    continue
                 tables.append(_unpacked(block.as_buffer()))
-    if not tables:
-        return
+                held += len(tables[-1])
+                if held > most:
+                    files = files or [stack.enter_context(tempfile.TemporaryFile()) for _ in range(FILES)]
+                    _put(tables, files)
+                    held = 0
+        if not files:
+            if tables:
+                yield from out(*_decided(tables))
+            return
+        if tables:
+            _put(tables, files)
+        for file in files:
+            file.seek(0)
+            if data := file.read():
+                tables, data = [np.frombuffer(data, dtype=_ROW)], None
+                yield from out(*_decided(tables))
+
+
+def _put(tables: list[np.ndarray], files: list) -> None:
+    """Empty ``tables`` into the files: all rows of an anchor into the same one."""
+    table = np.concatenate(tables)
+    tables.clear()
+    which = (_mix(table["a"] >> np.uint64(24)) >> np.uint64(32)) % np.uint64(len(files))
+    order = np.argsort(which, kind="stable")
+    for file, few in zip(files, np.split(order, np.searchsorted(which[order], np.arange(1, len(files)))), strict=True):
+        file.write(table[few].tobytes())
+
+
+def _decided(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of whole anchors (``tables`` is emptied), those of copies and those to settle; which are copies."""
     table = np.concatenate(tables)
     tables.clear()
     anchor = table["a"] >> np.uint64(24)
@@ -195,7 +233,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differ = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
         some[rest[have[np.repeat(differ, np.diff(np.append(first, len(have))))]]] = True
     take = np.flatnonzero(whole | some)
-    yield from out(table[take], whole[take])
+    return table[take], whole[take]
 
 
 # suffix arrays ----------------------------------------------------------------------------------------------------------
@@ -247,46 +285,56 @@ def common_prefixes(order: np.ndarray, ranks: dict[int, np.ndarray]) -> np.ndarr
 
 
 class _Shard:
-    """The windows of a shard's runs in the order of their bytes: a representative of each distinct one, and the least document."""
+    """The windows of a shard's runs in the order of their bytes: a representative of each distinct one, and the least document.
+
+    As a sequence: the bytes of each distinct window, in order, as rows of big-endian words, the last filled up with zeros; made when asked for.
+    """
 
-    def __init__(self, pieces: list[bytes], docs: np.ndarray):
-        self.text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        sizes = np.array([len(p) for p in pieces])
+    def __init__(self, text: np.ndarray, sizes: np.ndarray, docs: np.ndarray):
+        self.text, self.docs = text, docs
         self.starts = np.cumsum(np.append(0, sizes))[:-1]
-        order, ranks = suffix_ranks(self.text)
-        piece = np.repeat(np.arange(len(pieces)), sizes)
-        valid = np.arange(len(self.text)) - self.starts[piece] <= sizes[piece] - LENGTH
+        order, ranks = suffix_ranks(text)
+        piece = np.repeat(np.arange(len(sizes)), sizes)
+        valid = np.arange(len(text)) - self.starts[piece] <= sizes[piece] - LENGTH
         order_at = np.flatnonzero(valid[order])
         lcp = common_prefixes(order, ranks)
         cut = np.cumsum(lcp < LENGTH)  # suffixes between two cuts have their first LENGTH bytes in common
         self.window = order[order_at]
         groups = cut[order_at]
         new = np.append(True, groups[1:] != groups[:-1]) if len(groups) else np.zeros(0, dtype=bool)
-        self.group = np.cumsum(new) - 1
-        self.piece = piece[self.window]
-        self.first = np.flatnonzero(new)
-        self.least = np.minimum.reduceat(docs[self.piece], self.first) if len(self.first) else np.zeros(0, dtype=np.int64)
-
-    def keys(self) -> np.ndarray:
-        """The bytes of each distinct window, in order: a row of big-endian words, the last filled up with zeros."""
-        at = self.window[self.first]
+        self.first = np.flatnonzero(new).astype(np.int32)
+        self.least = np.minimum.reduceat(docs[piece[self.window]], self.first) if len(self.first) else np.zeros(0, dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    def __getitem__(self, which: np.ndarray) -> np.ndarray:
+        at = self.window[self.first[which]]
         out = np.zeros((len(at), 8 * _KEY_WORDS), dtype=np.uint8)
-        out[:, :LENGTH] = self.text[at[:, None] + np.arange(LENGTH)]
+        if len(at):
+            out[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(self.text, LENGTH)[at]
         return out.view(">u8").astype(np.uint64)
 
+    def gone(self) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, window) of each window that a smaller document has."""
+        piece = np.searchsorted(self.starts, self.window, side="right") - 1
+        least = np.repeat(self.least, np.diff(np.append(self.first, len(self.window))))
+        at = np.flatnonzero(self.docs[piece] > least)
+        return piece[at], self.window[at] - self.starts[piece[at]]
+
 
 _KEY_WORDS = -(-LENGTH // 8)
 
 
-def _search(rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _search(rows: np.ndarray | _Shard, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Binary search of all ``wanted`` at once in sorted ``rows``: where each belongs, and whether it is there."""
     lo, hi = np.zeros(len(wanted), dtype=np.int64), np.full(len(wanted), len(rows), dtype=np.int64)
+    at = np.arange(len(wanted))
     for _ in range(len(rows).bit_length()):
         mid = np.minimum((lo + hi) // 2, len(rows) - 1)
-        differ = rows[mid] != wanted
-        column = differ.argmax(axis=1)
-        at = np.arange(len(wanted))
-        less = (lo < hi) & (rows[mid, column] < wanted[at, column])
+        some = rows[mid]
+        column = (some != wanted).argmax(axis=1)
+        less = (lo < hi) & (some[at, column] < wanted[at, column])
         lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
     found = np.zeros(len(wanted), dtype=bool)
     inside = np.flatnonzero(lo < len(rows))
@@ -295,36 +343,73 @@ def _search(rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def merge(shards: list[_Shard]) -> None:
-    """Let each distinct window know the least document of all shards."""
-    rows, least = np.zeros((0, _KEY_WORDS), dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    keys = [s.keys() for s in shards]
-    for shard, mine in zip(shards, keys, strict=True):
-        at, found = _search(rows, mine) if len(rows) else (np.zeros(len(mine), dtype=np.int64), np.zeros(len(mine), dtype=bool))
-        least[at[found]] = np.minimum(least[at[found]], shard.least[found])
-        rows, least = np.insert(rows, at[~found], mine[~found], axis=0), np.insert(least, at[~found], shard.least[~found])
-    for shard, mine in zip(shards, keys, strict=True):
-        if len(mine):
-            shard.least = least[_search(rows, mine)[0]]
+    """Let each distinct window know the least document of all shards: by ranges of their order, so that the bytes of few are held at once."""
+    step = max(1, MERGED // (2 * len(shards)))
+    samples = np.concatenate([s[np.arange(step - 1, len(s), step)] for s in shards])
+    bounds = samples[np.lexsort(samples.T[::-1])[len(shards) - 1 :: len(shards)]]
+    ends = [np.concatenate([[0], _search(s, bounds)[0], [len(s)]]) for s in shards]
+    for r in range(len(bounds) + 1):
+        parts = [(s, np.arange(e[r], e[r + 1])) for s, e in zip(shards, ends, strict=True) if e[r] < e[r + 1]]
+        keys = [s[part] for s, part in parts]
+        rows, least = np.zeros((0, _KEY_WORDS), dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        for (shard, part), mine in zip(parts, keys, strict=True):
+            at, found = _search(rows, mine) if len(rows) else (np.zeros(len(mine), dtype=np.int64), np.zeros(len(mine), dtype=bool))
+            least[at[found]] = np.minimum(least[at[found]], shard.least[part[found]])
+            rows, least = np.insert(rows, at[~found], mine[~found], axis=0), np.insert(least, at[~found], shard.least[part[~found]])
+        for (shard, part), mine in zip(parts, keys, strict=True):
+            shard.least[part] = least[_search(rows, mine)[0]]
+
+
+def _settled(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, shard_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pieces, windows) of the windows whose bytes a piece of a smaller document has, from each shard."""
+    ends = np.cumsum(sizes)
+    cuts = [0]
+    while cuts[-1] < len(sizes):
+        begin = ends[cuts[-1]] - sizes[cuts[-1]]
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, begin + shard_bytes, side="right"))))
+    shards = [_Shard(text[ends[i] - sizes[i] : ends[j - 1]], sizes[i:j], docs[i:j]) for i, j in zip(cuts, cuts[1:])]
+    if len(shards) > 1:
+        merge(shards)
+    for shard, base in zip(shards, cuts):
+        piece, window = shard.gone()
+        yield base + piece, window
 
 
 def settle(pieces: list[bytes], docs: np.ndarray, shard_bytes: int = SHARD) -> list[tuple[int, int]]:
     """(piece, window) of each window whose bytes a piece of a smaller document has."""
-    shards, parts, i = [], [], 0
-    while i < len(pieces):
-        j, size = i, 0
-        while j < len(pieces) and (j == i or size + len(pieces[j]) <= shard_bytes):
-            size += len(pieces[j])
-            j += 1
-        shards.append(_Shard(pieces[i:j], docs[i:j]))
-        parts.append(i)
-        i = j
-    if len(shards) > 1:
-        merge(shards)
-    out = []
-    for shard, base in zip(shards, parts, strict=True):
-        gone = np.flatnonzero(docs[base + shard.piece] > shard.least[shard.group])
-        out.extend(zip((base + shard.piece[gone]).tolist(), (shard.window[gone] - shard.starts[shard.piece[gone]]).tolist(), strict=True))
-    return out
+    text, sizes = np.frombuffer(b"".join(pieces), dtype=np.uint8), np.array([len(p) for p in pieces], dtype=np.int64)
+    return [x for piece, window in _settled(text, sizes, docs, shard_bytes) for x in zip(piece.tolist(), window.tolist(), strict=True)]
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches sorted by their first column, in lists: all rows of an anchor in one, and not many more than ``enough`` bytes of pieces unless an anchor has."""
+    waiting, held, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a = batch.column(0).to_numpy()
+        size = batch.column(batch.num_columns - 1).nbytes
+        at = int(np.searchsorted(a, a[-1]))
+        if held + size > enough and (at or last != a[-1]):
+            whole, waiting, batch = waiting + [batch.slice(0, at)] * bool(at), [], batch.slice(at)
+            if whole:
+                yield whole
+            held, size = 0, batch.column(batch.num_columns - 1).nbytes
+        waiting.append(batch)
+        held, last = held + size, a[-1]
+    if waiting:
+        yield waiting
+
+
+def _flat(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary columns without nulls, one after another, and the size of each value."""
+    texts, sizes = [], []
+    for c in columns:
+        kind = np.int64 if pa.types.is_large_binary(c.type) else np.int32
+        ends = np.frombuffer(c.buffers()[1], dtype=kind)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+        texts.append(np.frombuffer(c.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]])
+        sizes.append(np.diff(ends))
+    return np.concatenate(texts), np.concatenate(sizes)
 
 
 # the operator -----------------------------------------------------------------------------------------------------------
@@ -336,7 +421,7 @@ def copied(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
     dealt = _dealt(docs, n).repartitionById(n, F.col("part"))
-    met = materialize(dealt.mapInArrow(lean(_met), "doc long, key long, at long, a long, whole boolean"), "met")
+    met = materialize(dealt.mapInArrow(lean(lambda batches: _met(batches, HELD)), "doc long, key long, at long, a long, whole boolean"), "met")
     windows = F.col("at").bitwiseAND(F.lit(_WINDOWS))
     open_runs = met.where("not whole").groupBy("doc", "key").agg(F.collect_list(F.struct("a", windows.alias("at"))).alias("runs"))
     wanted = docs.join(open_runs, ["doc", "key"])
@@ -351,17 +436,16 @@ def copied(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array([doc] * len(a), pa.int64()), pa.array([key] * len(a), pa.int64()), pa.array(first, pa.int64()), pa.array(pieces, pa.binary())], ["a", "doc", "key", "first", "piece"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        doc, key, first = (table.column(c).to_numpy() for c in ("doc", "key", "first"))
-        gone = settle(table.column("piece").to_pylist(), doc)
-        if gone:
-            piece, window = np.array(gone, dtype=np.int64).T
-            yield pa.RecordBatch.from_arrays([pa.array(doc[piece]), pa.array(key[piece]), pa.array((first[piece] + window) << 6 | 1)], ["doc", "key", "at"])
+        for some in _anchors(batches, SHARD):
+            text, sizes = _flat([b.column(4) for b in some])
+            doc, key, first = (np.concatenate([b.column(i).to_numpy() for b in some]) for i in (1, 2, 3))
+            some.clear()
+            for piece, window in _settled(text, sizes, doc, SHARD):
+                if len(piece):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[piece]), pa.array(key[piece]), pa.array((first[piece] + window) << 6 | 1)], ["doc", "key", "at"])
 
     pieces = wanted.select("doc", "key", "text", "runs").mapInArrow(lean(cut), "a long, doc long, key long, first long, piece binary")
-    late = pieces.repartition(n, "a").mapInArrow(lean(sort), "doc long, key long, at long")
+    late = pieces.repartition(n, "a").sortWithinPartitions("a").mapInArrow(lean(sort), "doc long, key long, at long")
     return met.where("whole").select("doc", "key", windows.alias("at")).union(late)
 
 
